@@ -32,6 +32,7 @@ from motorloom.plans.runtime import stash
 
 SKETCH_BITS = 22
 SIGNATURE_WORDS = 4
+WIDE_WORDS = 16
 EXPAND_LIMIT = 64
 
 SIGNED = "grp string, id bigint, cls bigint, n int, grams array<bigint>"
@@ -199,6 +200,36 @@ def self_candidates(posted: DataFrame, threshold: float) -> DataFrame:
     )
 
 
+def wide_signatures(sets: DataFrame) -> DataFrame:
+    """1024 parity bits per set, for a second suffix filter on distinct pairs."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams = batch.column("grams")
+            flat = grams.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            ends = grams.offsets.to_numpy() - grams.offsets[0].as_py()
+            owner = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+            slot = ((flat >> np.uint64(8)) & np.uint64(64 * WIDE_WORDS - 1)).astype(np.int64)
+            counts = np.bincount(owner * (64 * WIDE_WORDS) + slot, minlength=(len(ends) - 1) * 64 * WIDE_WORDS)
+            bits = np.packbits((counts & 1).astype(np.uint8)).view(np.int64).reshape(-1, WIDE_WORDS)
+            cols = [batch.column("cls"), pa.array(np.diff(ends).astype(np.int32))]
+            cols += [pa.array(np.ascontiguousarray(bits[:, j])) for j in range(WIDE_WORDS)]
+            yield pa.RecordBatch.from_arrays(cols, names=["cls", "n", *(f"w{j}" for j in range(WIDE_WORDS))])
+
+    words = ", ".join(f"w{j} bigint" for j in range(WIDE_WORDS))
+    return sets.select("cls", "grams").mapInArrow(work, f"cls bigint, n int, {words}")
+
+
+def tighten(pairs: DataFrame, wide_a: DataFrame, wide_b: DataFrame, threshold: float) -> DataFrame:
+    """The pairs whose wide signatures still allow the threshold."""
+    a = wide_a.select(F.col("cls").alias("cls_a"), F.col("n").alias("na"), *(F.col(f"w{j}").alias(f"a{j}") for j in range(WIDE_WORDS)))
+    b = wide_b.select(F.col("cls").alias("cls_b"), F.col("n").alias("nb"), *(F.col(f"w{j}").alias(f"b{j}") for j in range(WIDE_WORDS)))
+    apart: Column = sum((F.bit_count(F.col(f"a{j}").bitwiseXOR(F.col(f"b{j}"))) for j in range(WIDE_WORDS)), F.lit(0))
+    total = F.col("na") + F.col("nb")
+    fits = (total - apart) / F.lit(2) >= total * F.lit(threshold / (1 + threshold)) - F.lit(1e-6)
+    return pairs.join(a, "cls_a").join(b, "cls_b").filter(fits).select("cls_a", "cls_b")
+
+
 def verify(pairs: DataFrame, sets_a: DataFrame, sets_b: DataFrame, threshold: float) -> DataFrame:
     """Exact Jaccard of each candidate pair; those at or above the threshold remain."""
     a = sets_a.select(F.col("cls").alias("cls_a"), F.col("grams").alias("ga"))
@@ -253,7 +284,9 @@ def similar_classes(
     else:
         sets = stash(sets, "sets")
     sketch = rarity_sketch(sets)
-    pairs = stash(self_candidates(postings(sets, sketch, threshold), threshold), "pairs")
+    wide = wide_signatures(sets)
+    found = self_candidates(postings(sets, sketch, threshold), threshold)
+    pairs = stash(tighten(found, wide, wide, threshold), "pairs")
     ends = pairs.select(F.col("cls_a").alias("cls")).union(pairs.select("cls_b")).distinct()
     needed = sets.join(ends, "cls", "left_semi")
     return members, stash(verify(pairs, needed, needed, threshold), "links")
