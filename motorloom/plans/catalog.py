@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from motorloom.operators import quantities
+from motorloom.sources.tables import table
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -13,8 +16,19 @@ def flagship(spark: SparkSession, folder: str) -> DataFrame:
     raise NotImplementedError
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    listings, rates = table(spark, folder, "normalized_documents"), table(spark, folder, "fx_rates")
+    return quantities.converted(quantities.common_amounts(listings, rates))
+
+
+def p3_unit_shifts(spark: SparkSession, folder: str) -> DataFrame:
+    """Changepoints in each source's recorded prices, in order of id."""
+    listings = table(spark, folder, "normalized_documents").filter("price > 0")
+    return quantities.unit_shifts(listings, "source", "id", "price")
+
+
 def queries() -> dict[str, Query]:
-    return {}
+    return {"p3_found": p3_found, "p3_unit_shifts": p3_unit_shifts}
 
 
 def oracles() -> dict[str, str]:
