@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motorloom.llm import near_dup
+from motorloom.llm import mapping, near_dup
 from motorloom.sources.tables import table
 
 
@@ -29,5 +29,24 @@ def p1_classes(spark: SparkSession, sf: str) -> DataFrame:
     return near_dup.class_report(members, links).select("id", "cls", "links")
 
 
-QUERIES = {"p1_found": p1_found, "p1_classes": p1_classes}
+def _mapped(spark: SparkSession, sf: str) -> DataFrame:
+    lists = {
+        "brand": (table(spark, sf, "brand_aliases"), "brand", "alias_norm", "ord"),
+        "model": (table(spark, sf, "model_aliases"), "model", "alias_norm", "ord"),
+        "city": (table(spark, sf, "city_dictionary"), "city", "word", "ord"),
+    }
+    return mapping.map_values(table(spark, sf, "normalized_documents"), "id", lists)
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return mapping.unlike(_mapped(spark, sf))
+
+
+def p2_misses(spark: SparkSession, sf: str) -> DataFrame:
+    """Typed values that reach no entry, with their number of rows."""
+    missed = _mapped(spark, sf).filter(F.col("canonical") == mapping.UNMATCHED)
+    return missed.groupBy("field_name", "typed").agg(F.count(F.lit(1)).alias("n"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_classes": p1_classes, "p2_found": p2_found, "p2_misses": p2_misses}
 ORACLES: dict[str, str] = {}
