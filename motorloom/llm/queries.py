@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motorloom.llm import mapping, near_dup
+from motorloom.llm import leakage, mapping, near_dup
 from motorloom.sources.tables import table
 
 
@@ -48,5 +48,15 @@ def p2_misses(spark: SparkSession, sf: str) -> DataFrame:
     return missed.groupBy("field_name", "typed").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_classes": p1_classes, "p2_found": p2_found, "p2_misses": p2_misses}
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return leakage.leaked(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
+
+
+def p8_items(spark: SparkSession, sf: str) -> DataFrame:
+    return leakage.leak_report(p8_found(spark, sf))
+
+
+QUERIES = {
+    "p8_found": p8_found, "p8_items": p8_items,
+    "p1_found": p1_found, "p1_classes": p1_classes, "p2_found": p2_found, "p2_misses": p2_misses}
 ORACLES: dict[str, str] = {}
