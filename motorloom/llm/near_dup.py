@@ -20,19 +20,21 @@ further columns of the input are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from motorloom.llm.shingles import batch_ngram_sets, mix
-from motorloom.plans.runtime import stash
+from motorloom.plans.runtime import join_dictionary, stash
 
-SKETCH_BITS = 22
+SKETCH_BITS = 24
 SIGNATURE_WORDS = 4
-WIDE_WORDS = 16
+WIDE_WORDS = 8
 EXPAND_LIMIT = 64
 
 SIGNED = "grp string, id bigint, cls bigint, n int, grams array<bigint>"
@@ -75,36 +77,36 @@ def sign(texts: DataFrame, n: int, keep_grams: bool) -> DataFrame:
     return narrow.mapInArrow(work, schema)
 
 
-def rarity_sketch(signed: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
-    """Logarithmic count per hash bucket over all texts; 0 where at most one text has it."""
+def rarity_sketch(signed: DataFrame, bits: int = SKETCH_BITS, chunk_bits: int = 16) -> np.ndarray:
+    """Logarithmic count per hash bucket over all texts; 0 where at most one text has it.
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = None
+    Each task counts its texts in one array and sends it in compressed chunks; chunks
+    are added where they meet, and 2**bits levels of one byte reach the driver.
+    """
+    size = 1 << chunk_bits
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << bits, np.uint16)
         for batch in batches:
             flat = batch.column("grams").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            if counts is None:
-                counts = np.zeros(1 << bits, np.int32)
             part, times = np.unique((flat >> np.uint64(64 - bits)).astype(np.int64), return_counts=True)
-            counts[part] += times.astype(np.int32)
-        if counts is not None:
-            at = np.flatnonzero(counts)
-            for k in range(0, len(at), 100_000):
-                part = at[k : k + 100_000]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(part.astype(np.int32)), pa.array(counts[part].astype(np.int64))], names=["slot", "times"]
-                )
-
-    counted = (
-        signed.select("grams")
-        .mapInArrow(work, "slot int, times bigint")
-        .groupBy("slot")
-        .agg(F.sum("times").alias("times"))
-        .filter("times > 1")
-        .select("slot", F.least(F.floor(F.log2("times") * 8), F.lit(255)).cast("short").alias("level"))
-    )
-    found = counted.toArrow()  # at most 2**bits rows, whatever the corpus
-    sketch = np.zeros(1 << bits, np.uint8)
-    sketch[found.column("slot").to_numpy()] = np.maximum(found.column("level").to_numpy(), 1)
+            counts[part] = np.minimum(counts[part] + times, 65535).astype(np.uint16)
+        rows = counts.reshape(-1, size)
+        some = np.flatnonzero(rows.any(axis=1))
+        packed = [zlib.compress(rows[k].tobytes(), 1) for k in some]
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(packed, pa.binary())], names=["k", "part"])
+
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(size, np.float64)
+        for part in group["part"]:
+            total += np.frombuffer(zlib.decompress(part), np.uint16)
+        level = np.where(total > 1, np.clip(np.floor(np.log2(np.maximum(total, 1)) * 8), 1, 255), 0)
+        return pd.DataFrame({"k": [group["k"].iloc[0]], "level": [zlib.compress(level.astype(np.uint8).tobytes(), 1)]})
+
+    parts = signed.select("grams").mapInArrow(count, "k int, part binary")
+    sketch = np.zeros((1 << bits) // size * size, np.uint8)
+    for r in parts.groupBy("k").applyInPandas(add, "k int, level binary").collect():
+        sketch[r.k * size : (r.k + 1) * size] = np.frombuffer(zlib.decompress(r.level), np.uint8)
     return sketch
 
 
@@ -201,7 +203,7 @@ def self_candidates(posted: DataFrame, threshold: float) -> DataFrame:
 
 
 def wide_signatures(sets: DataFrame) -> DataFrame:
-    """1024 parity bits per set, for a second suffix filter on distinct pairs."""
+    """512 parity bits per set, for a second suffix filter on distinct pairs."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -288,7 +290,7 @@ def similar_classes(
     found = self_candidates(postings(sets, sketch, threshold), threshold)
     pairs = stash(tighten(found, wide, wide, threshold), "pairs")
     ends = pairs.select(F.col("cls_a").alias("cls")).union(pairs.select("cls_b")).distinct()
-    needed = sets.join(ends, "cls", "left_semi")
+    needed = join_dictionary(sets, ends, "cls", "left_semi", most=1_000_000)
     return members, stash(verify(pairs, needed, needed, threshold), "links")
 
 
