@@ -117,8 +117,13 @@ def signature(grams: np.ndarray) -> np.ndarray:
     return np.packbits(bits).view(np.int64)
 
 
-def postings(reps: DataFrame, sketch: np.ndarray, threshold: float, bits: int = SKETCH_BITS) -> DataFrame:
-    """One row per prefix member of each set: member, class, set size, position and signature."""
+def postings(
+    reps: DataFrame, sketch: np.ndarray, threshold: float, bits: int = SKETCH_BITS, drop_single: bool = True
+) -> DataFrame:
+    """One row per prefix member of each set: member, class, set size, position and signature.
+
+    ``drop_single`` leaves out members that the sketch proves to be in one set only.
+    """
     held = reps.sparkSession.sparkContext.broadcast(sketch)
     shift = np.uint64(64 - bits)
 
@@ -135,7 +140,7 @@ def postings(reps: DataFrame, sketch: np.ndarray, threshold: float, bits: int =
                 order = np.lexsort((part, level))
                 size = len(part)
                 order = order[: size - int(np.ceil(threshold * size - 1e-9)) + 1]
-                at = np.flatnonzero(level[order])
+                at = np.flatnonzero(level[order]) if drop_single else np.arange(len(order))
                 out[0].append(part[order[at]])
                 out[1].append(np.full(len(at), cls, np.int64))
                 out[2].append(np.full(len(at), size, np.int32))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motorloom.llm import leakage, mapping, near_dup
+from motorloom.llm import incremental, leakage, mapping, near_dup
 from motorloom.sources.tables import table
 
 
@@ -48,6 +48,10 @@ def p2_misses(spark: SparkSession, sf: str) -> DataFrame:
     return missed.groupBy("field_name", "typed").agg(F.count(F.lit(1)).alias("n"))
 
 
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return incremental.dedupe_batches(table(spark, sf, "raw_documents"))
+
+
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return leakage.leaked(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
 
@@ -57,6 +61,6 @@ def p8_items(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
-    "p8_found": p8_found, "p8_items": p8_items,
+    "p6_found": p6_found, "p8_found": p8_found, "p8_items": p8_items,
     "p1_found": p1_found, "p1_classes": p1_classes, "p2_found": p2_found, "p2_misses": p2_misses}
 ORACLES: dict[str, str] = {}
