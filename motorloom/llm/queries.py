@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motorloom.llm import incremental, leakage, mapping, near_dup
+from motorloom.llm import incremental, leakage, mapping, near_dup, subjects
 from motorloom.sources.tables import table
 
 
@@ -60,7 +60,27 @@ def p8_items(spark: SparkSession, sf: str) -> DataFrame:
     return leakage.leak_report(p8_found(spark, sf))
 
 
+def _subjects(spark: SparkSession, sf: str) -> DataFrame:
+    areas = [r.subject for r in table(spark, sf, "subject_areas").select("subject").orderBy("subject").limit(1000).collect()]
+    examples = table(spark, sf, "subject_examples").select("text", "subject")
+    items = table(spark, sf, "eval_items").select("text", F.lit(subjects.NONE).alias("subject"))
+    listings = table(spark, sf, "normalized_documents").filter("sale_intent = 1 and normalized_text is not null")
+    sale = listings.select(F.col("normalized_text").alias("text"), F.lit("trade").alias("subject")).limit(1500)
+    return subjects.assign(table(spark, sf, "documents"), examples.unionByName(items).unionByName(sale), areas)
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _subjects(spark, sf).select("doc_id", "subject").distinct()
+
+
+def p9_mix(spark: SparkSession, sf: str) -> DataFrame:
+    """Composition of the corpus by subject."""
+    return _subjects(spark, sf).groupBy("subject").agg(F.countDistinct("doc_id").alias("documents"))
+
+
 QUERIES = {
+    "p9_found": p9_found, "p9_mix": p9_mix,
+    
     "p6_found": p6_found, "p8_found": p8_found, "p8_items": p8_items,
     "p1_found": p1_found, "p1_classes": p1_classes, "p2_found": p2_found, "p2_misses": p2_misses}
 ORACLES: dict[str, str] = {}
