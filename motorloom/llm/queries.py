@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motorloom.llm import incremental, leakage, mapping, near_dup, subjects
+from motorloom.llm import incremental, leakage, mapping, near_dup, packing, subjects
 from motorloom.sources.tables import table
 
 
@@ -52,6 +52,14 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return incremental.dedupe_batches(table(spark, sf, "raw_documents"))
 
 
+def p7_packed(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack_all(table(spark, sf, "documents"), table(spark, sf, "pack_containers"))
+
+
+def p7_fill(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.fill_report(p7_packed(spark, sf))
+
+
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return leakage.leaked(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
 
@@ -79,6 +87,7 @@ def p9_mix(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "p7_packed": p7_packed, "p7_fill": p7_fill,
     "p9_found": p9_found, "p9_mix": p9_mix,
     
     "p6_found": p6_found, "p8_found": p8_found, "p8_items": p8_items,
