@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motorloom.llm import incremental, leakage, mapping, near_dup, packing, subjects
+from motorloom.llm import incremental, leakage, mapping, near_dup, neighbours, packing, subjects
 from motorloom.sources.tables import table
 
 
@@ -48,6 +48,18 @@ def p2_misses(spark: SparkSession, sf: str) -> DataFrame:
     return missed.groupBy("field_name", "typed").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _points(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "vector_points").select(F.col("chunk_id").alias("id"), "vector")
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return neighbours.neighbour_pairs(_points(spark, sf))
+
+
+def p4_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    return neighbours.neighbour_lists(_points(spark, sf))
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return incremental.dedupe_batches(table(spark, sf, "raw_documents"))
 
@@ -87,6 +99,7 @@ def p9_mix(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "p4_found": p4_found, "p4_neighbours": p4_neighbours,
     "p7_packed": p7_packed, "p7_fill": p7_fill,
     "p9_found": p9_found, "p9_mix": p9_mix,
     
