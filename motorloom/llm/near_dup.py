@@ -3,11 +3,12 @@
 Method: rare-first prefix filtering. Every text becomes its set of word n-grams;
 texts with equal sets form one *class* and only one of them takes part in the
 join. Set members are ordered by a corpus-wide rarity sketch; two sets with
-Jaccard >= t must share a member within their prefixes, so only prefix members
-are joined. A match must also pass the length filter, the positional filter and a
-suffix filter on 256-bit parity signatures (the Hamming distance of two signatures
-never exceeds the symmetric difference, so no true pair is lost). Each surviving
-pair is verified once on the whole sets.
+Jaccard >= t must share members within their prefixes, so only prefix members are
+joined; prefixes are long enough that a pair must share SHARED of them, and pairs
+that share fewer are dropped as they are counted. A match must also pass the length
+filter, the positional filter and a suffix filter on 256-bit parity signatures (the
+Hamming distance of two signatures never exceeds the symmetric difference, so no
+true pair is lost). Each surviving pair is verified once on the whole sets.
 
 The rarity sketch has a fixed number of buckets (``SKETCH_BITS``) whatever the
 size of the corpus; any total order is a correct one, so collisions in it cost
@@ -34,7 +35,8 @@ from motorloom.plans.runtime import join_dictionary, stash
 
 SKETCH_BITS = 24
 SIGNATURE_WORDS = 4
-WIDE_WORDS = 8
+#: Prefix members that a pair must share; prefixes are longer by as many, so no pair is lost.
+SHARED = 6
 EXPAND_LIMIT = 64
 
 SIGNED = "grp string, id bigint, cls bigint, n int, grams array<bigint>"
@@ -124,11 +126,11 @@ def postings(
 
     ``drop_single`` leaves out members that the sketch proves to be in one set only.
     """
-    held = reps.sparkSession.sparkContext.broadcast(sketch)
+    held = reps.sparkSession.sparkContext.broadcast(zlib.compress(sketch.tobytes(), 1))
     shift = np.uint64(64 - bits)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels = held.value
+        levels = np.frombuffer(zlib.decompress(held.value), np.uint8)
         for batch in batches:
             grams, classes = batch.column("grams"), batch.column("cls").to_numpy()
             flat = grams.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
@@ -139,7 +141,7 @@ def postings(
                 level = levels[(part >> shift).astype(np.int64)]
                 order = np.lexsort((part, level))
                 size = len(part)
-                order = order[: size - int(np.ceil(threshold * size - 1e-9)) + 1]
+                order = order[: size - int(np.ceil(threshold * size - 1e-9)) + SHARED]
                 at = np.flatnonzero(level[order]) if drop_single else np.arange(len(order))
                 out[0].append(part[order[at]])
                 out[1].append(np.full(len(at), cls, np.int64))
@@ -160,81 +162,29 @@ def postings(
     )
 
 
-def candidates(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of classes (cls_a from ``left``, cls_b from ``right``) that pass every filter, distinct."""
-    a, b = left.alias("a"), right.alias("b")
-    total = F.col("a.n") + F.col("b.n")
-    share = threshold / (1 + threshold)
-    need = total * F.lit(share) - F.lit(1e-6)
-    apart: Column = sum(
-        (F.bit_count(F.col(f"a.s{j}").bitwiseXOR(F.col(f"b.s{j}"))) for j in range(SIGNATURE_WORDS)), F.lit(0)
-    )
-    return (
-        a.join(
-            b,
-            (F.col("a.gram") == F.col("b.gram"))
-            & (F.col("a.n") >= F.col("b.n") * F.lit(threshold) - F.lit(1e-6))
-            & (F.col("b.n") >= F.col("a.n") * F.lit(threshold) - F.lit(1e-6))
-            & (F.col("a.n") - F.col("a.pos") >= need)
-            & (F.col("b.n") - F.col("b.pos") >= need)
-            & ((total - apart) / F.lit(2) >= need)
-            & (F.col("a.cls") != F.col("b.cls")),
-        )
-        .select(F.col("a.cls").alias("cls_a"), F.col("b.cls").alias("cls_b"))
-        .distinct()
-    )
-
+def candidates(left: DataFrame, right: DataFrame, threshold: float, same: bool = False) -> DataFrame:
+    """Distinct pairs of classes (cls_a from ``left``, cls_b from ``right``) that pass every filter.
 
-def self_candidates(posted: DataFrame, threshold: float) -> DataFrame:
-    """As :func:`candidates` within one table, every unordered pair once (cls_a < cls_b)."""
-    a, b = posted.alias("a"), posted.alias("b")
+    ``same``: both are one table, and every unordered pair comes once, cls_a < cls_b.
+    """
+    a, b = left.alias("a"), right.alias("b")
     total = F.col("a.n") + F.col("b.n")
     need = total * F.lit(threshold / (1 + threshold)) - F.lit(1e-6)
     apart: Column = sum(
         (F.bit_count(F.col(f"a.s{j}").bitwiseXOR(F.col(f"b.s{j}"))) for j in range(SIGNATURE_WORDS)), F.lit(0)
     )
-    return (
-        a.join(
-            b,
-            (F.col("a.gram") == F.col("b.gram"))
-            & (F.col("a.cls") < F.col("b.cls"))
-            & (F.col("a.n") - F.col("a.pos") >= need)
-            & (F.col("b.n") - F.col("b.pos") >= need)
-            & ((total - apart) / F.lit(2) >= need),
-        )
-        .select(F.col("a.cls").alias("cls_a"), F.col("b.cls").alias("cls_b"))
-        .distinct()
-    )
-
-
-def wide_signatures(sets: DataFrame) -> DataFrame:
-    """512 parity bits per set, for a second suffix filter on distinct pairs."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            grams = batch.column("grams")
-            flat = grams.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            ends = grams.offsets.to_numpy() - grams.offsets[0].as_py()
-            owner = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
-            slot = ((flat >> np.uint64(8)) & np.uint64(64 * WIDE_WORDS - 1)).astype(np.int64)
-            counts = np.bincount(owner * (64 * WIDE_WORDS) + slot, minlength=(len(ends) - 1) * 64 * WIDE_WORDS)
-            bits = np.packbits((counts & 1).astype(np.uint8)).view(np.int64).reshape(-1, WIDE_WORDS)
-            cols = [batch.column("cls"), pa.array(np.diff(ends).astype(np.int32))]
-            cols += [pa.array(np.ascontiguousarray(bits[:, j])) for j in range(WIDE_WORDS)]
-            yield pa.RecordBatch.from_arrays(cols, names=["cls", "n", *(f"w{j}" for j in range(WIDE_WORDS))])
-
-    words = ", ".join(f"w{j} bigint" for j in range(WIDE_WORDS))
-    return sets.select("cls", "grams").mapInArrow(work, f"cls bigint, n int, {words}")
-
-
-def tighten(pairs: DataFrame, wide_a: DataFrame, wide_b: DataFrame, threshold: float) -> DataFrame:
-    """The pairs whose wide signatures still allow the threshold."""
-    a = wide_a.select(F.col("cls").alias("cls_a"), F.col("n").alias("na"), *(F.col(f"w{j}").alias(f"a{j}") for j in range(WIDE_WORDS)))
-    b = wide_b.select(F.col("cls").alias("cls_b"), F.col("n").alias("nb"), *(F.col(f"w{j}").alias(f"b{j}") for j in range(WIDE_WORDS)))
-    apart: Column = sum((F.bit_count(F.col(f"a{j}").bitwiseXOR(F.col(f"b{j}"))) for j in range(WIDE_WORDS)), F.lit(0))
-    total = F.col("na") + F.col("nb")
-    fits = (total - apart) / F.lit(2) >= total * F.lit(threshold / (1 + threshold)) - F.lit(1e-6)
-    return pairs.join(a, "cls_a").join(b, "cls_b").filter(fits).select("cls_a", "cls_b")
+    met = a.join(
+        b,
+        (F.col("a.gram") == F.col("b.gram"))
+        & ((F.col("a.cls") < F.col("b.cls")) if same else (F.col("a.cls") != F.col("b.cls")))
+        & (F.col("a.n") - F.col("a.pos") + (SHARED - 1) >= need)
+        & (F.col("b.n") - F.col("b.pos") + (SHARED - 1) >= need)
+        & (F.col("a.n") >= need)
+        & (F.col("b.n") >= need)
+        & ((total - apart) / F.lit(2) >= need),
+    ).select(F.col("a.cls").alias("cls_a"), F.col("b.cls").alias("cls_b"), F.least(F.lit(SHARED), F.ceil(need)).cast("int").alias("least"))
+    counted = met.groupBy("cls_a", "cls_b").agg(F.count(F.lit(1)).alias("shared"), F.max("least").alias("least"))
+    return counted.filter(F.col("shared") >= F.col("least")).select("cls_a", "cls_b")
 
 
 def verify(pairs: DataFrame, sets_a: DataFrame, sets_b: DataFrame, threshold: float) -> DataFrame:
@@ -291,9 +241,9 @@ def similar_classes(
     else:
         sets = stash(sets, "sets")
     sketch = rarity_sketch(sets)
-    wide = wide_signatures(sets)
-    found = self_candidates(postings(sets, sketch, threshold), threshold)
-    pairs = stash(tighten(found, wide, wide, threshold), "pairs")
+    posted = postings(sets, sketch, threshold)
+    found = candidates(posted, posted, threshold, same=True)
+    pairs = stash(found, "pairs")
     ends = pairs.select(F.col("cls_a").alias("cls")).union(pairs.select("cls_b")).distinct()
     needed = join_dictionary(sets, ends, "cls", "left_semi", most=1_000_000)
     return members, stash(verify(pairs, needed, needed, threshold), "links")
