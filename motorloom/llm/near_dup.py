@@ -213,7 +213,7 @@ def representatives(signed: DataFrame) -> DataFrame:
         .filter(~((F.col("grp") == F.col("first.grp")) & (F.col("id") == F.col("first.id"))))
         .select("grp", "id")
     )
-    return keyed.join(others, ["grp", "id"], "left_anti").select("cls", "grams")
+    return join_dictionary(keyed, others, ["grp", "id"], "left_anti", most=1_000_000).select("cls", "grams")
 
 
 def similar_classes(
