@@ -2,34 +2,35 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
 from motorloom.operators import quantities
+from motorloom.plans import registry, reports, texts  # noqa: F401  (both register their queries)
+from motorloom.plans.registry import Query, query
 from motorloom.sources.tables import table
 
-Query = Callable[[SparkSession, str], DataFrame]
-
-
-def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    raise NotImplementedError
-
 
+@query("p3_found")
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     listings, rates = table(spark, folder, "normalized_documents"), table(spark, folder, "fx_rates")
     return quantities.converted(quantities.common_amounts(listings, rates))
 
 
+@query("p3_unit_shifts")
 def p3_unit_shifts(spark: SparkSession, folder: str) -> DataFrame:
     """Changepoints in each source's recorded prices, in order of id."""
     listings = table(spark, folder, "normalized_documents").filter("price > 0")
     return quantities.unit_shifts(listings, "source", "id", "price")
 
 
+def flagship(spark: SparkSession, folder: str) -> DataFrame:
+    """Batch search over all vectors: filter, cosine, best per document, top k of every query."""
+    return registry.QUERIES["v13_max_per_doc"](spark, folder)
+
+
 def queries() -> dict[str, Query]:
-    return {"p3_found": p3_found, "p3_unit_shifts": p3_unit_shifts}
+    return dict(registry.QUERIES)
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return dict(registry.ORACLES)
