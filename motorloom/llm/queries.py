@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motorloom.llm import incremental, leakage, mapping, near_dup, neighbours, packing, subjects
+from motorloom.llm import incremental, leakage, mapping, near_dup, neighbours, packing, pii, subjects
 from motorloom.sources.tables import table
 
 
@@ -60,6 +60,15 @@ def p4_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     return neighbours.neighbour_lists(_points(spark, sf))
 
 
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.found(pii.tag_posts(table(spark, sf, "raw_documents")))
+
+
+def p5_clean(spark: SparkSession, sf: str) -> DataFrame:
+    """The posts with typed placeholders in place of the finds."""
+    return pii.tag_posts(table(spark, sf, "raw_documents")).select("raw_id", "clean_text")
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return incremental.dedupe_batches(table(spark, sf, "raw_documents"))
 
@@ -99,6 +108,7 @@ def p9_mix(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "p5_found": p5_found, "p5_clean": p5_clean,
     "p4_found": p4_found, "p4_neighbours": p4_neighbours,
     "p7_packed": p7_packed, "p7_fill": p7_fill,
     "p9_found": p9_found, "p9_mix": p9_mix,
