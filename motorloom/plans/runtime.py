@@ -40,6 +40,15 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_stash(*frames: DataFrame) -> None:
+    """Delete the files behind stashed frames that no later plan reads."""
+    for df in frames:
+        jvm = df.sparkSession._jvm
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def bounded_rows(df: DataFrame, most: int, what: str) -> list:
     """Rows of a table that must stay small (a dictionary); fails loudly instead of flooding the driver."""
     rows = df.limit(most + 1).collect()
