@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from motorloom.plans.runtime import stash
 
 SAMPLE, CALIBRATION, LEAF, BRANCH = 20_000, 400, 400, 16
-MEMBERS, QUERIES = 8_192, 16_384
+MEMBERS, QUERIES = 4_096, 8_192
 
 
 class Tree:
@@ -188,12 +188,10 @@ def nearest_classes(reps: DataFrame, tree: Tree, visits: int, k: int, dims: int)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = held.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (whole.slice(a, 1000) for whole in batches for a in range(0, whole.num_rows, 1000)):
             ids = batch.column("id").to_numpy()
             unit = _matrix(batch.column("vector"), dims)
-            seen = np.concatenate([t.visits(unit[a : a + 2000], visits) for a in range(0, len(unit), 2000)])
+            seen = np.concatenate([t.visits(unit[a : a + 1000], visits) for a in range(0, len(unit), 1000)])
             family = t.family[t.node_of_leaf[seen]]
             fams, rows, lists = [], [], []
             for r in range(len(ids)):
@@ -251,8 +249,9 @@ def nearest_classes(reps: DataFrame, tree: Tree, visits: int, k: int, dims: int)
         best_i = np.full((len(ask), k), -1, np.int64)
         for leaf in np.unique(home):
             cols, rows = np.flatnonzero(home == leaf), row[asked == leaf]
-            for a in range(0, len(rows), 2048):
-                part = rows[a : a + 2048]
+            pace = max(16, 500_000 // max(1, len(cols)))  # bounds the similarity block
+            for a in range(0, len(rows), pace):
+                part = rows[a : a + pace]
                 sims = np.round(y[part] @ x[cols].T, 9)
                 sims[qid[part][:, None] == mid[cols][None]] = -2
                 if len(cols) > 3 * k:  # ties at the edge are kept by taking more than k
