@@ -85,7 +85,6 @@ class Model:
         self.tables = [w["pf"] * half, w["pb"] * half]
         self.steps = [w["uf"] * half, w["ub"] * half]
         self.out, self.bias, self.moves = w["wo"], w["bo"], w["tr"]
-        self.reach = float(self.moves.max() - self.moves.min())
 
     @classmethod
     def load(cls, path: Path = WEIGHTS) -> Model:
@@ -120,21 +119,48 @@ class Model:
             total += (hs.reshape(-1, H) @ part).reshape(total.shape)
         return total + self.bias
 
-    def best_path(self, scores: np.ndarray) -> np.ndarray:
-        """Best tags of one sequence (length, tags)."""
-        back = np.empty(scores.shape, np.int8)
+    def plain(self, scores: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Which sequences have "outside" everywhere as their best path, by a bound that is never wrong.
+
+        Leaving "outside" over a run gains at most the sum of the best other scores and
+        of the best moves in, within and out; the best run is found by one sweep.
+        """
+        stay = self.moves[0, 0]
+        into, within, out = self.moves[0, 1:].max() - stay, self.moves[1:, 1:].max() - stay, self.moves[1:, 0].max() - stay
+        gain = scores[:, :, 1:].max(2) - scores[:, :, 0] + within
+        gain[np.arange(len(gain))[:, None] >= lengths[None]] = -1e6
+        most = run = np.full(scores.shape[1], -1e6, np.float32)
+        for row in gain:
+            run = np.maximum(run, 0) + row
+            most = np.maximum(most, run)
+        return most + into - within + max(out, -stay, 0) < 0
+
+    def best_paths(self, scores: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Best tags (length, batch) of padded sequences (length, batch, tags)."""
+        T, B, K = scores.shape
+        back = np.empty((T, B, K), np.int8)
         best = scores[0].copy()
-        best[2::2] -= 1e4  # nothing begins inside
-        for t in range(1, len(scores)):
-            all_ = best[:, None] + self.moves
-            back[t] = all_.argmax(0)
-            best = all_.max(0) + scores[t]
-        out = np.empty(len(scores), np.int8)
-        out[-1] = best.argmax()
-        for t in range(len(scores) - 1, 0, -1):
-            out[t - 1] = back[t, out[t]]
+        best[:, 2::2] -= 1e4  # nothing begins inside
+        moves = np.ascontiguousarray(self.moves.T)[None]  # to, from
+        own = np.arange(K, dtype=np.int8)
+        for t in range(1, T):
+            all_ = best[:, None, :] + moves
+            step = all_.argmax(2)
+            new = np.take_along_axis(all_, step[:, :, None], 2)[:, :, 0] + scores[t]
+            live = (t < lengths)[:, None]
+            back[t] = np.where(live, step, own)
+            best = np.where(live, new, best)
+        out = np.empty((T, B), np.int8)
+        out[-1] = best.argmax(1)
+        rows = np.arange(B)
+        for t in range(T - 1, 0, -1):
+            out[t - 1] = back[t, rows, out[t]]
         return out
 
+    def best_path(self, scores: np.ndarray) -> np.ndarray:
+        """Best tags of one sequence (length, tags)."""
+        return self.best_paths(scores[:, None], np.array([len(scores)]))[:, 0]
+
     def tag(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
         """Spans of each stretch, by averaged window scores and one decoding."""
         codes = [encode(t) for t in texts]
@@ -157,15 +183,16 @@ class Model:
             for j, (_, _, code) in enumerate(part):
                 block[: len(code), j] = code
             scores = self.scores(block, lengths)
-            edge = scores[:, :, 0] - scores[:, :, 1:].max(2)
-            edge[np.arange(len(block))[:, None] >= lengths[None]] = np.inf
-            unsure = edge.min(0) < 2 * self.reach
-            for j, (k, s, code) in enumerate(part):
-                if k in sums:
-                    sums[k][0][s : s + len(code)] += scores[: len(code), j]
-                    sums[k][1][s : s + len(code)] += 1
-                elif unsure[j]:
-                    found[k] = spans(self.best_path(scores[: len(code), j]))
+            alone = np.array([k not in sums for k, _, _ in part])
+            unsure = np.flatnonzero(alone & ~self.plain(scores, lengths))
+            if len(unsure):
+                paths = self.best_paths(scores[:, unsure], lengths[unsure])
+                for at, j in enumerate(unsure):
+                    found[part[j][0]] = spans(paths[: lengths[j], at])
+            for j in np.flatnonzero(~alone):
+                k, s, code = part[j]
+                sums[k][0][s : s + len(code)] += scores[: len(code), j]
+                sums[k][1][s : s + len(code)] += 1
         for k, (total, times) in sums.items():
             found[k] = spans(self.best_path(total / times))
         return found
