@@ -22,6 +22,7 @@ import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -119,6 +120,7 @@ class Reference:
     keys: dict[str, list[tuple[str, int]]] = field(default_factory=dict)  # key -> entries with their order
     near: dict[str, list[str]] = field(default_factory=dict)  # delete -> keys
     weight: dict[str, int] = field(default_factory=dict)  # entry -> occurrences
+    longest: int = 0  # length of the longest key
 
     def add(self, alias: str, entry: str, order: int) -> None:
         plain = squeeze(alias)
@@ -128,6 +130,7 @@ class Reference:
                 continue
             if key not in self.keys:
                 self.keys[key] = []
+                self.longest = max(self.longest, len(key))
                 for d in deletes(key, allowed(len(key))):
                     self.near.setdefault(d, []).append(key)
             if all(e != entry for e, _ in self.keys[key]):
@@ -135,7 +138,7 @@ class Reference:
 
     def best(self, key: str) -> tuple[float, str] | None:
         """Closest entry of one folded key."""
-        if not key:
+        if not key or len(key) > self.longest + 2:
             return None
         digits = re.sub(r"\D", "", key)
         most, found = allowed(len(key)), []
@@ -170,6 +173,8 @@ class Reference:
             if best is not None and best[0] <= cost:
                 break
             words = [w for w in _SPLIT.split(form) if w]
+            if len(words) > 12:  # a text, no name: more than three words would be left over
+                continue
             runs = [(0, len(words))] + [(a, b) for n in (3, 2, 1) for a in range(len(words) - n + 1) for b in [a + n] if n < len(words)]
             for a, b in runs:
                 rest = words[:a] + words[b:]
@@ -234,19 +239,27 @@ def map_values(
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         refs, known = held.value, {n: {} for n in names}
         for batch in batches:
-            parts = []
+            ids, fields_, typed, entries = [], [], [], []
             for name in names:
                 some = batch[["__id", name]].dropna()
                 seen = known[name]
                 if len(seen) > _CACHE_LIMIT:
                     seen.clear()
-                for value in some[name].unique():
-                    if value not in seen:
-                        seen[value] = refs[name].resolve(value)
-                parts.append(
-                    pd.DataFrame({"id": some["__id"], "field_name": name, "typed": some[name], "canonical": some[name].map(seen)})
-                )
-            yield pd.concat(parts) if parts else pd.DataFrame(columns=["id", "field_name", "typed", "canonical"])
+                values = some[name].tolist()
+                for value in set(values) - seen.keys():
+                    seen[value] = refs[name].resolve(value)
+                ids += some["__id"].tolist()
+                fields_ += [name] * len(values)
+                typed += values
+                entries += [seen[v] for v in values]
+            yield pd.DataFrame(
+                {
+                    "id": np.array(ids, np.int64),
+                    "field_name": pd.Series(fields_, dtype=object),
+                    "typed": pd.Series(typed, dtype=object),
+                    "canonical": pd.Series(entries, dtype=object),
+                }
+            )
 
     narrow = rows.select(F.col(id_column).cast("bigint").alias("__id"), *(F.col(n).cast("string").alias(n) for n in names))
     return narrow.mapInPandas(work, "id bigint, field_name string, typed string, canonical string")

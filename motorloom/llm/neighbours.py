@@ -234,7 +234,7 @@ def nearest_classes(reps: DataFrame, tree: Tree, visits: int, k: int, dims: int)
     def search(group: pd.DataFrame) -> pd.DataFrame:
         asks = group["asks"].to_numpy() == 1
         mem, ask = group[~asks], group[asks]
-        empty = pd.DataFrame({"id": np.empty(0, np.int64), "near": [], "sims": []})
+        empty = pd.DataFrame({"id": np.empty(0, np.int64), "near": pd.Series([], dtype=object), "sims": pd.Series([], dtype=object)})
         if not len(mem) or not len(ask):
             return empty
         x = np.stack(mem["vector"].to_numpy()).astype(np.float64)
@@ -266,8 +266,8 @@ def nearest_classes(reps: DataFrame, tree: Tree, visits: int, k: int, dims: int)
         keep = (best_s[:, 0] > -2)
         return pd.DataFrame({
             "id": qid[keep],
-            "near": [r[s > -2].tolist() for r, s in zip(best_i[keep], best_s[keep])],
-            "sims": [s[s > -2].tolist() for s in best_s[keep]],
+            "near": pd.Series([r[s > -2].tolist() for r, s in zip(best_i[keep], best_s[keep])], dtype=object),
+            "sims": pd.Series([s[s > -2].tolist() for s in best_s[keep]], dtype=object),
         })
 
     partial = cells.groupBy("family", "a", "b").applyInPandas(search, "id bigint, near array<bigint>, sims array<double>")
