@@ -404,3 +404,53 @@ def r14(s, d):
     docs = table(s, d, "documents").filter("text is not null").select(F.col("doc_id").alias("id"), ex.tokens(F.col("text")).alias("words"))
     asked = table(s, d, "search_events").filter("id % 100 = 0 and raw_query is not null")
     return rk.bm25(docs, asked.select(F.col("id").alias("query_id"), ex.tokens(F.col("raw_query")).alias("words")))
+
+
+@query("v12_multi_query", f"SELECT query_id % 4 AS request, point_id, max(sim) AS sim FROM ({_TOPK}) GROUP BY 1, 2")
+def v12(s, d):
+    """Several vectors of one request: hits are united, the best similarity stays."""
+    hits = _hits_frame(s, d).withColumn("request", F.col("query_id") % 4)
+    return hits.groupBy("request", "point_id").agg(F.max("sim").alias("sim"))
+
+
+@query("r01_parse", f"""WITH t AS (SELECT id, {_TOKENS.format('raw_query')} AS alias_norm FROM search_events),
+  b AS (SELECT id, arg_min(brand, (-length(alias_norm), ord)) AS brand FROM t JOIN brand_aliases USING (alias_norm) GROUP BY id)
+  SELECT e.id, b.brand, nullif(CAST(TRY_CAST(replace(nullif(regexp_extract(lower(raw_query), '(?:^|[^а-я])до ([0-9]+(?:[.,][0-9]+)?) ?(?:млн)', 1), ''), ',', '.') AS DECIMAL(14,3)) * 1000000 AS BIGINT), 0) AS price_max,
+  {_FUEL_SQL.replace('normalized_text', 'lower(raw_query)')} AS fuel, nullif(regexp_extract(lower(raw_query), '(?:^|[^а-яё])((?:бел|черн|чёрн|сер|красн|син|голуб|зелен|зелён|желт|жёлт|оранжев|коричнев|вишнёв|бордов|молочн|графит|бирюз|беж)[а-яё]*)', 1), '') AS color
+  FROM search_events e LEFT JOIN b ON b.id = e.id""")
+def r01(s, d):
+    """Typed queries as structured ones."""
+    log, low = table(s, d, "search_events"), F.lower("raw_query")
+    brand = ex.first_entry(log, "id", F.col("raw_query"), table(s, d, "brand_aliases"), "alias_norm", ["brand"], True)
+    fields = log.select("id", ex.bound(low, "до", "млн", 1_000_000).alias("price_max"), ex.fuel(low).alias("fuel"), ex.color(low).alias("color"))
+    return fields.join(brand, "id", "left").select("id", "brand", "price_max", "fuel", "color")
+
+
+@query("q18_route", """SELECT id, CASE WHEN raw_query IS NULL OR trim(raw_query) = '' THEN 'empty' WHEN regexp_matches(lower(raw_query), '[0-9]') THEN 'structured'
+  WHEN len(string_split(trim(raw_query), ' ')) = 1 THEN 'brand_only' ELSE 'semantic' END AS route FROM search_events""")
+def q18(s, d):
+    c = F.col("raw_query")
+    route = F.when(c.isNull() | (F.trim(c) == ""), "empty").when(F.lower(c).rlike("[0-9]"), "structured").when(F.size(F.split(F.trim(c), " ")) == 1, "brand_only").otherwise("semantic")
+    return table(s, d, "search_events").select("id", route.alias("route"))
+
+
+@query("q14_chunk_gate", "SELECT id, length(trim(chunk_text)) >= 30 AND NOT contains(lower(chunk_text), 'подписывайтесь') AS kept FROM document_chunks")
+def q14(s, d):
+    kept = (F.length(F.trim("chunk_text")) >= 30) & ~F.lower("chunk_text").contains("подписывайтесь")
+    return table(s, d, "document_chunks").select("id", kept.alias("kept"))
+
+
+@query("q16_timestamps", """SELECT id, coalesce(floor(epoch(created_at))::BIGINT, created_at_ts, floor(epoch(fetched_at))::BIGINT) AS at,
+  CASE WHEN created_at IS NOT NULL THEN 'source' WHEN created_at_ts IS NOT NULL THEN 'normalized' ELSE 'ingested' END AS origin FROM raw_documents""")
+def q16(s, d):
+    """One epoch per post and where it comes from."""
+    epoch = lambda c: F.unix_timestamp(F.col(c).cast("timestamp"))
+    at = F.coalesce(epoch("created_at"), F.col("created_at_ts"), epoch("fetched_at"))
+    origin = F.when(F.col("created_at").isNotNull(), "source").when(F.col("created_at_ts").isNotNull(), "normalized").otherwise("ingested")
+    return table(s, d, RAW).select("id", at.alias("at"), origin.alias("origin"))
+
+
+@query("t18_card", """SELECT id, concat_ws(' · ', coalesce(brand, '?'), CAST(year AS VARCHAR), CASE WHEN price > 0 THEN replace(format('{:,}', price), ',', ' ') || ' ₽' END) AS card FROM normalized_documents""")
+def t18(s, d):
+    money = F.when(F.col("price") > 0, F.concat(F.replace(F.format_number("price", 0), F.lit(","), F.lit(" ")), F.lit(" ₽")))
+    return table(s, d, NORM).select("id", F.concat_ws(" · ", F.coalesce("brand", F.lit("?")), F.col("year").cast("string"), money).alias("card"))
