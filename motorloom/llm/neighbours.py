@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from motorloom.plans.runtime import stash
 
 SAMPLE, CALIBRATION, LEAF, BRANCH = 20_000, 400, 400, 16
-MEMBERS, QUERIES = 4_096, 8_192
+MEMBERS, QUERIES = 16_384, 32_768
 
 
 class Tree:
@@ -192,19 +192,18 @@ def nearest_classes(reps: DataFrame, tree: Tree, visits: int, k: int, dims: int)
             ids = batch.column("id").to_numpy()
             unit = _matrix(batch.column("vector"), dims)
             seen = np.concatenate([t.visits(unit[a : a + 1000], visits) for a in range(0, len(unit), 1000)])
-            family = t.family[t.node_of_leaf[seen]]
-            fams, rows, lists = [], [], []
-            for r in range(len(ids)):
-                order = np.argsort(family[r], kind="stable")
-                f, starts = np.unique(family[r][order], return_index=True)
-                fams += f.tolist()
-                rows += [r] * len(f)
-                lists += np.split(seen[r][order].astype(np.int32), starts[1:])
-            home = seen[:, 0]
-            take = pa.array(np.concatenate([np.arange(len(ids)), np.array(rows, np.int64)]))
-            out_family = np.concatenate([t.family[t.node_of_leaf[home]], np.array(fams, np.int64)])
+            nodes = len(t.centres)
+            key = (np.arange(len(ids))[:, None] * nodes + t.family[t.node_of_leaf[seen]]).ravel()
+            order = np.argsort(key, kind="stable")
+            key, asked = key[order], seen.ravel()[order].astype(np.int32)
+            starts = np.flatnonzero(np.diff(key, prepend=-1))
+            rows, fams = np.divmod(key[starts], nodes)
+            home = seen[:, 0].astype(np.int32)
+            take = pa.array(np.concatenate([np.arange(len(ids)), rows]))
+            out_family = np.concatenate([t.family[t.node_of_leaf[home]], fams])
             kind = np.concatenate([np.zeros(len(ids), np.int8), np.ones(len(rows), np.int8)])
-            leaves = pa.array([[int(h)] for h in home] + [x.tolist() for x in lists], pa.list_(pa.int32()))
+            ends = np.concatenate([np.arange(len(ids)), len(ids) + starts, [len(ids) + len(asked)]]).astype(np.int32)
+            leaves = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([home, asked])))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id").take(take), pa.array(out_family), pa.array(kind), leaves, batch.column("vector").take(take)],
                 names=["id", "family", "asks", "leaves", "vector"],
@@ -276,7 +275,7 @@ def nearest_classes(reps: DataFrame, tree: Tree, visits: int, k: int, dims: int)
     return merged.select("id", F.slice(F.array_sort(F.array_distinct("p")), 1, k).alias("near"))
 
 
-def neighbour_lists(points: DataFrame, k: int = 5, target: float = 0.98) -> DataFrame:
+def neighbour_lists(points: DataFrame, k: int = 5, target: float = 0.97) -> DataFrame:
     """(id, neighbour, rank) of every usable vector; ``points``: id, vector."""
     clean, dims = _usable(points)
     spark = points.sparkSession
@@ -316,7 +315,7 @@ def _with_copies(reps: DataFrame, near: DataFrame, keyed: DataFrame, later: Data
     return joined.select("id", F.posexplode(mine).alias("rank", "x")).select("id", F.col("x.other").alias("neighbour"), (F.col("rank") + 1).alias("rank"))
 
 
-def neighbour_pairs(points: DataFrame, k: int = 5, target: float = 0.98) -> DataFrame:
+def neighbour_pairs(points: DataFrame, k: int = 5, target: float = 0.97) -> DataFrame:
     """Distinct unordered pairs where one is among the k nearest of the other."""
     lists = neighbour_lists(points, k, target)
     return lists.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
