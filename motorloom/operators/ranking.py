@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,6 +22,45 @@ def top_k(queries: DataFrame, points: DataFrame, k: int, on: list[str]) -> DataF
     return ranked.filter(F.col("rank") <= k)
 
 
+def top_k_blocks(queries: DataFrame, points: DataFrame, k: int, on: str, query_block: int = 2_000, point_block: int = 20_000) -> DataFrame:
+    """``top_k`` for query sets that grow with the points: every pair is scored, in blocks of bounded size.
+
+    Queries and points are dealt to counted numbers of blocks by hash; each pair of blocks
+    meets in one task per value of ``on``, which keeps the k best of its points, and the
+    k best of these are the result. Neither side is broadcast.
+    """
+    blocks = lambda rows, most: max(1, -(-rows.count() // most))
+    nq, np_ = blocks(queries, query_block), blocks(points, point_block)
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+    left = queries.withColumn("_q", F.pmod(F.xxhash64("query_id"), F.lit(nq))).withColumn("_p", each(np_))
+    right = points.withColumn("_p", F.pmod(F.xxhash64("point_id"), F.lit(np_))).withColumn("_q", each(nq))
+
+    def unit(vectors: pd.Series) -> np.ndarray:
+        rows = np.stack([np.asarray(v, np.float64) for v in vectors])
+        with np.errstate(invalid="ignore"):
+            return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+
+    def score(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        columns = ["query_id", "point_id", on, "sim"]
+        q, p = q[q["query_vector"].notna()], p[p["vector"].notna()].sort_values("point_id")
+        if q.empty or p.empty:
+            return pd.DataFrame(columns=columns)
+        ids, base, out = p["point_id"].to_numpy(), unit(p["vector"]), []
+        for query, vector in zip(q["query_id"], unit(q["query_vector"])):
+            sim = np.round(base @ vector, 6)
+            best = np.argsort(-sim, kind="stable")[:k]  # ties by id, no similarity last
+            out.append(pd.DataFrame({"query_id": query, "point_id": ids[best], on: q[on].iloc[0], "sim": sim[best]}))
+        return pd.concat(out)[columns]
+
+    kinds = {**dict(queries.dtypes), **dict(points.dtypes)}
+    schema = f"query_id {kinds['query_id']}, point_id {kinds['point_id']}, {on} {kinds[on]}, sim double"
+    keys = ["_q", "_p", on]
+    part = left.filter(F.col(on).isNotNull()).groupBy(*keys).cogroup(right.filter(F.col(on).isNotNull()).groupBy(*keys)).applyInPandas(score, schema)
+    part = part.withColumn("sim", F.when(~F.isnan("sim"), F.col("sim")))
+    ranked = part.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sim"), "point_id")))
+    return ranked.filter(F.col("rank") <= k)
+
+
 def max_per_document(hits: DataFrame, key: str) -> DataFrame:
     best = F.struct("sim", -F.col("point_id"))
     return hits.groupBy("query_id", key).agg(F.max("sim").alias("sim"), F.max_by("point_id", best).alias("point_id"))

@@ -280,6 +280,36 @@ def v13(s, d):
     return rk.max_per_document(_hits_frame(s, d).withColumn("doc_id", F.floor(F.col("point_id") / 3)), "doc_id")
 
 
+def _due_frame(s, d, k=10):
+    """Every vector whose id is divisible by 100 asks all vectors; the set grows with the table."""
+    e = table(s, d, "embeddings")
+    q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"), "label")
+    p = e.select(F.col("vec_id").alias("point_id"), F.col("embedding").alias("vector"), "label")
+    return rk.top_k_blocks(q, p, k, "label")
+
+
+_DUE = """SELECT q.vec_id AS query_id, p.vec_id AS point_id, p.label, round(list_cosine_similarity(q.embedding::DOUBLE[], p.embedding::DOUBLE[]), 6) AS sim
+  FROM embeddings q JOIN embeddings p ON q.label = p.label WHERE q.vec_id % 100 = 0
+  QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], p.embedding::DOUBLE[]), 6) DESC, p.vec_id) <= 10"""
+
+
+@query("v11_topk_due", _DUE)
+def v11_due(s, d):
+    return _due_frame(s, d).select("query_id", "point_id", "label", "sim")
+
+
+@query("v12_multi_query_due", f"SELECT query_id // 300 AS request, point_id, max(sim) AS sim FROM ({_DUE}) GROUP BY 1, 2")
+def v12_due(s, d):
+    """Requests of up to three vectors."""
+    hits = _due_frame(s, d).withColumn("request", F.floor(F.col("query_id") / 300))
+    return hits.groupBy("request", "point_id").agg(F.max("sim").alias("sim"))
+
+
+@query("v13_max_per_doc_due", f"SELECT query_id, point_id // 3 AS doc_id, max(sim) AS sim, arg_max(point_id, (sim, -point_id)) AS point_id FROM ({_DUE}) GROUP BY 1, 2")
+def v13_due(s, d):
+    return rk.max_per_document(_due_frame(s, d).withColumn("doc_id", F.floor(F.col("point_id") / 3)), "doc_id")
+
+
 _ASKED = "(VALUES (1, 'brand#1', 950000, 300000, 1990, 'petrol'), (2, NULL, 970000, NULL, NULL, 'diesel'), (3, 'brand#7', NULL, 100000, 2000, NULL)) AS q(query_id, w_brand, price_max, mileage_max, year_min, w_fuel)"
 
 
