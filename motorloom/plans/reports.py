@@ -258,6 +258,19 @@ def m06(s, d):
     return life.insert_absent(rows.filter("id % 3 = 0"), rows.filter("id % 3 = 1"), "dedup_key", "id").select("id")
 
 
+SPLIT_DATE = "1996-01-01"
+
+
+@query("m06_insert_absent_dated", f"""SELECT o_orderkey AS id FROM orders n WHERE (o_orderdate >= TIMESTAMP '{SPLIT_DATE}' OR o_orderdate IS NULL)
+  AND NOT EXISTS (SELECT 1 FROM orders h WHERE h.o_orderdate < TIMESTAMP '{SPLIT_DATE}' AND h.o_custkey = n.o_custkey)
+  QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1""")
+def m06_dated(s, d):
+    """The whole table without remainder: orders before the date are held, all others are new."""
+    rows = table(s, d, "orders").withColumnsRenamed({"o_orderkey": "id", "o_custkey": "dedup_key"})
+    held = F.coalesce(F.col("o_orderdate") < F.to_timestamp_ntz(F.lit(SPLIT_DATE)), F.lit(False))
+    return life.insert_absent(rows.filter(~held), rows.filter(held), "dedup_key", "id").select("id")
+
+
 @query("q19_fixed_window", "SELECT user_id, date_trunc('minute', ts) AS minute, count(*) AS n FROM events GROUP BY 1, 2")
 def q19a(s, d):
     return table(s, d, "events").groupBy("user_id", F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("minute")).agg(F.count(F.lit(1)).alias("n"))

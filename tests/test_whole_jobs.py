@@ -35,3 +35,11 @@ def test_blocks_do_not_change_the_hits(spark):
     look = lambda df: sorted(map(tuple, df.select("query_id", "point_id", "sim").filter("sim is not null").collect()))
     whole = look(rk.top_k(q, p, 5, ["label"]))
     assert whole and look(rk.top_k_blocks(q, p, 5, "label", query_block=5, point_block=30)) == whole
+
+
+def test_every_order_is_held_or_new(spark, tmp_path):
+    day = lambda year: datetime.datetime(year, 5, 1)
+    rows = [(2, 1, day(1999)), (5, 1, day(1999)), (8, 2, None), (11, 3, day(1995)), (12, 3, day(1999)), (14, None, day(1999))]
+    spark.createDataFrame(rows, "o_orderkey bigint, o_custkey bigint, o_orderdate timestamp_ntz").write.parquet(f"{tmp_path}/orders.parquet")
+    got = [r.id for r in entry.queries()["m06_insert_absent_dated"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == [2, 8, 14]
