@@ -22,7 +22,7 @@ from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from motorloom.plans.runtime import bounded_rows
@@ -165,28 +165,153 @@ def converted(amounts: DataFrame) -> DataFrame:
     return changed.select("id", "field_name", "common_value").distinct()
 
 
+class Segmenter:
+    """Exact optimum of squared error plus ``penalty`` per segment over values that arrive piece by piece.
+
+    A start stays alive only for the levels at which it can still win (functional
+    pruning); each keeps up to two intervals that contain these levels. ``settled``
+    gives the segments that every live start has in common, so a long history needs
+    memory only for its open end.
+    """
+
+    def __init__(self, penalty: float) -> None:
+        self.penalty, self.t, self.s1, self.s2 = penalty, 0, 0.0, 0.0
+        self.done = 0
+        self.last: list[int] = [0]  # best start of the segment that ends at done + k
+        self.start = np.zeros(1, np.int64)
+        self.base, self.at1, self.at2 = np.array([-penalty]), np.zeros(1), np.zeros(1)
+        self.low, self.high = np.array([-np.inf]), np.array([np.inf])
+
+    def push(self, values: np.ndarray) -> None:
+        for v in values.tolist():
+            self.t += 1
+            self.s1 += v
+            self.s2 += v * v
+            n, s1 = self.t - self.start, self.s1 - self.at1
+            mean = s1 / n
+            cost = self.base + np.maximum(self.s2 - self.at2 - s1 * mean, 0.0)
+            k = int(cost.argmin())
+            best = cost[k] + self.penalty
+            self.last.append(int(self.start[k]))
+            reach = np.sqrt(np.maximum(best - cost + 1e-9 * (1.0 + abs(best)), 0.0) / n)
+            # The levels at which the best start beats a new one for good.
+            inner = np.sqrt(max(self.penalty - 1e-9 * (1.0 + abs(best)), 0.0) / n[k])
+            left, right = mean[k] - inner, mean[k] + inner
+            low, high = np.maximum(self.low, mean - reach), np.minimum(self.high, mean + reach)
+            keep = (low <= high) & (cost <= best + 1e-9 * (1.0 + abs(best)))
+            t = self.t
+            self.start = np.concatenate((self.start[keep], (t, t)))
+            self.base = np.concatenate((self.base[keep], (best, best)))
+            self.at1 = np.concatenate((self.at1[keep], (self.s1, self.s1)))
+            self.at2 = np.concatenate((self.at2[keep], (self.s2, self.s2)))
+            self.low = np.concatenate((low[keep], (-np.inf, right)))
+            self.high = np.concatenate((high[keep], (left, np.inf)))
+
+    def _path(self, end: int) -> list[int]:
+        out = []
+        while end > self.done:
+            out.append(end)
+            end = self.last[end - self.done]
+        return out[::-1]
+
+    def _take(self, ends: list[int]) -> list[tuple[int, int]]:
+        out = list(zip([self.done, *ends], ends))
+        if ends:
+            self.last = self.last[ends[-1] - self.done :]
+            self.done = ends[-1]
+        return out
+
+    def settled(self) -> list[tuple[int, int]]:
+        """Segments that no later value can change; each is given once."""
+        common = None
+        for end in {int(x) for x in self.start}:
+            path = self._path(end)
+            if common is None:
+                common = path
+            else:
+                k = 0
+                while k < min(len(common), len(path)) and common[k] == path[k]:
+                    k += 1
+                common = common[:k]
+            if not common:
+                break
+        return self._take(common or [])
+
+    def rest(self) -> list[tuple[int, int]]:
+        """Segments up to the last value, if no more come."""
+        return self._take(self._path(self.t))
+
+
 def best_segments(values: np.ndarray, penalty: float) -> list[tuple[int, int]]:
-    """Exact optimum of squared error plus ``penalty`` per segment, with inequality pruning."""
-    n = len(values)
-    s1 = np.concatenate(([0.0], np.cumsum(values)))
-    s2 = np.concatenate(([0.0], np.cumsum(values * values)))
-    best, last = np.zeros(n + 1), np.zeros(n + 1, np.int64)
-    best[0] = -penalty
-    live = np.zeros(1, np.int64)
-    for t in range(1, n + 1):
-        cost = best[live] + s2[t] - s2[live] - (s1[t] - s1[live]) ** 2 / (t - live)
-        k = int(np.argmin(cost))
-        best[t], last[t] = cost[k] + penalty, live[k]
-        live = np.append(live[cost <= best[t]], t)
-    out, t = [], n
-    while t > 0:
-        out.append((int(last[t]), t))
-        t = int(last[t])
-    return out[::-1]
+    """Exact optimum of squared error plus ``penalty`` per segment."""
+    work = Segmenter(penalty)
+    work.push(values)
+    return work.rest()
 
 
 KNOWN_FACTORS = {"thousand": 1000.0, "million": 1_000_000.0, "mile": 1.609344, "cent": 100.0}
 
+def _factor(shift: float, tolerance: float) -> tuple[str | None, float]:
+    """Name of the unit factor of a shift of the log level, and its log."""
+    found = (None, 0.0)
+    for name, size in KNOWN_FACTORS.items():
+        log = float(np.log(size))
+        for sign, label in ((1.0, name), (-1.0, f"1/{name}")):
+            if abs(shift - sign * log) <= tolerance * min(1.0, log):
+                found = (label, sign * log)
+    return found
+
+
+SEGMENTS = "key string, first_at bigint, last_at bigint, n bigint, level double, shift double, factor string"
+REVERSED = "key string, at bigint, recorded double, factor double, common_value double"
+
+
+def _histories(rows: DataFrame, key: str, order: str, value: str, penalty: float, tolerance: float, block: int, each_row: bool) -> DataFrame:
+    logs = rows.select(
+        F.col(key).cast("string").alias("key"), F.col(order).cast("bigint").alias("at"), F.col(value).cast("double").alias("x")
+    ).withColumn("v", F.log("x")).filter(F.col("key").isNotNull() & F.col("at").isNotNull() & F.col("v").isNotNull())
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key = seg = level = None
+        scale, origin = 0.0, 0.0
+        at, x, v = np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
+
+        def emit(cuts: list[tuple[int, int]]) -> Iterator[pd.DataFrame]:
+            nonlocal at, x, v, level, scale
+            out, used = [], 0
+            for a, b in cuts:
+                n = b - a
+                cut = slice(used, used + n)
+                now = round(float(np.median(v[cut])), 6)
+                shift = None if level is None else round(now - level, 6)
+                name, log = (None, 0.0) if shift is None else _factor(shift, tolerance)
+                level, scale, used = now, scale + log, used + n
+                if each_row:
+                    out.append(pd.DataFrame({"key": key, "at": at[cut], "recorded": x[cut], "factor": np.exp(scale), "common_value": x[cut] / np.exp(scale)}))
+                else:
+                    out.append(pd.DataFrame([(key, at[cut][0], at[cut][-1], n, now, shift, name)], columns=[c.split()[0] for c in SEGMENTS.split(", ")]))
+            at, x, v = at[used:], x[used:], v[used:]
+            if out:
+                yield pd.concat(out)
+
+        for batch in batches:
+            for name, part in batch.groupby("key", sort=False):
+                if name != key:
+                    if seg is not None:
+                        yield from emit(seg.rest())
+                    key, seg, level, scale, origin = name, Segmenter(penalty), None, 0.0, float(part["v"].iloc[0])
+                for k in range(0, len(part), block):
+                    piece = part.iloc[k : k + block]
+                    new = piece["v"].to_numpy()
+                    at, x, v = np.append(at, piece["at"].to_numpy()), np.append(x, piece["x"].to_numpy()), np.append(v, new)
+                    seg.push(new - origin)
+                    yield from emit(seg.settled())
+        if seg is not None:
+            yield from emit(seg.rest())
+
+    ordered = logs.repartition("key").sortWithinPartitions("key", "at", "v")
+    return ordered.mapInPandas(work, REVERSED if each_row else SEGMENTS)
+
 
 def unit_shifts(
     rows: DataFrame,
@@ -199,39 +324,16 @@ def unit_shifts(
 ) -> DataFrame:
     """Segments of each key's history and the unit factor that relates each to the segment before.
 
-    The history of a key is its rows by ``order`` (ties by value). It is cut into
-    blocks of ``block`` rows of the order's range (salting: a hot key is many tasks);
-    inside a block the segmentation is the exact optimum, and neighbouring blocks'
-    levels are compared afterwards, so a shift on a block's edge is reported too.
-    Nulls and amounts that aren't positive are skipped. ``factor`` is a name of
-    KNOWN_FACTORS (with "1/" when the level falls), else null.
+    The history of a key is its rows by ``order`` (ties by value), and its segmentation
+    is the exact optimum over the whole of it: the programme's state is carried through
+    the sorted rows, and after each ``block`` rows the segments that can't change any
+    more are given out. One key is one task. Nulls and amounts that aren't positive
+    are skipped. ``factor`` is a name of KNOWN_FACTORS (with "1/" when the level falls),
+    else null.
     """
-    logs = rows.select(
-        F.col(key).cast("string").alias("key"), F.col(order).cast("bigint").alias("at"), F.log(F.col(value)).alias("v")
-    ).filter(F.col("key").isNotNull() & F.col("at").isNotNull() & F.col("v").isNotNull())
-    blocks = logs.withColumn("block", F.floor(F.col("at") / F.lit(block)))
-
-    def work(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["at", "v"], kind="stable")
-        v, at = group["v"].to_numpy(), group["at"].to_numpy()
-        cuts = best_segments(v, penalty)
-        return pd.DataFrame(
-            {
-                "key": group["key"].iloc[0],
-                "first_at": [at[a] for a, _ in cuts],
-                "last_at": [at[b - 1] for _, b in cuts],
-                "n": [b - a for a, b in cuts],
-                "level": [round(float(np.median(v[a:b])), 6) for a, b in cuts],
-            }
-        )
-
-    parts = blocks.groupBy("key", "block").applyInPandas(
-        work, "key string, first_at bigint, last_at bigint, n bigint, level double"
-    )
-    before = Window.partitionBy("key").orderBy("first_at", "last_at")
-    shift = F.col("level") - F.lag("level").over(before)
-    factor = F.lit(None).cast("string")
-    for name, size in KNOWN_FACTORS.items():
-        factor = F.when(F.abs(shift - float(np.log(size))) <= tolerance * min(1.0, float(np.log(size))), name).otherwise(factor)
-        factor = F.when(F.abs(shift + float(np.log(size))) <= tolerance * min(1.0, float(np.log(size))), f"1/{name}").otherwise(factor)
-    return parts.withColumn("shift", F.round(shift, 6)).withColumn("factor", factor)
+    return _histories(rows, key, order, value, penalty, tolerance, block, each_row=False)
+
+
+def reversed_values(rows: DataFrame, key: str, order: str, value: str, penalty: float = 12.0, tolerance: float = 0.25, block: int = 2048) -> DataFrame:
+    """Every value in the unit of its key's first segment: the matched factors up to its segment are divided out."""
+    return _histories(rows, key, order, value, penalty, tolerance, block, each_row=True)

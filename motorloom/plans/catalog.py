@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from motorloom.operators import quantities
 from motorloom.plans import registry, reports, texts  # noqa: F401  (both register their queries)
@@ -16,11 +17,29 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return quantities.converted(quantities.common_amounts(listings, rates))
 
 
+def _both_fields(spark: SparkSession, folder: str) -> DataFrame:
+    """Recorded prices and mileages of each source, one row an amount."""
+    listings = table(spark, folder, "normalized_documents").filter("source is not null")
+    field = lambda name: listings.filter(F.col(name) > 0).select("source", "id", F.lit(name).alias("field_name"), F.col(name).cast("double").alias("amount"))
+    return field("price").unionByName(field("mileage")).withColumn("history", F.concat("field_name", F.lit("|"), "source"))
+
+
+def _split_history(df: DataFrame) -> DataFrame:
+    at = F.locate("|", "key")
+    fields = [F.substring("key", F.lit(1), at - 1).alias("field_name"), F.substring("key", at + 1, F.length("key")).alias("key")]
+    return df.select(*fields, *(c for c in df.columns if c != "key"))
+
+
 @query("p3_unit_shifts")
 def p3_unit_shifts(spark: SparkSession, folder: str) -> DataFrame:
-    """Changepoints in each source's recorded prices, in order of id."""
-    listings = table(spark, folder, "normalized_documents").filter("price > 0")
-    return quantities.unit_shifts(listings, "source", "id", "price")
+    """Changepoints in each source's recorded prices and mileages, in order of id."""
+    return _split_history(quantities.unit_shifts(_both_fields(spark, folder), "history", "id", "amount"))
+
+
+@query("p3_unit_values")
+def p3_unit_values(spark: SparkSession, folder: str) -> DataFrame:
+    """The recorded prices and mileages with the matched factors reversed."""
+    return _split_history(quantities.reversed_values(_both_fields(spark, folder), "history", "id", "amount"))
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:

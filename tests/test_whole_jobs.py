@@ -43,3 +43,55 @@ def test_every_order_is_held_or_new(spark, tmp_path):
     spark.createDataFrame(rows, "o_orderkey bigint, o_custkey bigint, o_orderdate timestamp_ntz").write.parquet(f"{tmp_path}/orders.parquet")
     got = [r.id for r in entry.queries()["m06_insert_absent_dated"](spark, str(tmp_path)).collect()]
     assert sorted(got) == [2, 8, 14]
+
+
+def _whole_optimum(v, penalty):
+    n, s1, s2 = len(v), np.append(0, np.cumsum(v)), np.append(0, np.cumsum(v * v))
+    best, last = np.full(n + 1, -penalty), np.zeros(n + 1, int)
+    for t in range(1, n + 1):
+        a = np.arange(t)
+        cost = best[:t] + s2[t] - s2[:t] - (s1[t] - s1[:t]) ** 2 / (t - a)
+        last[t] = int(cost.argmin())
+        best[t] = cost[last[t]] + penalty
+    cuts, t = [], n
+    while t:
+        cuts.append((int(last[t]), t))
+        t = int(last[t])
+    return cuts[::-1]
+
+
+def test_segments_are_the_optimum_of_whole_histories():
+    from motorloom.operators.quantities import Segmenter, best_segments
+
+    rng = np.random.default_rng(3)
+    for spread in (0.0, 0.3, 3.0):
+        for n in (1, 2, 400, 1500):
+            v = rng.normal(size=n) + np.repeat(rng.normal(0, 1, n // 100 + 1), 100)[:n] + spread * (rng.random(n) < 0.1) * rng.normal(size=n)
+            work, got = Segmenter(12.0), []
+            for k in range(0, n, 37):
+                work.push(v[k : k + 37])
+                got += work.settled()
+            assert got + work.rest() == best_segments(v, 12.0) == _whole_optimum(v, 12.0)
+
+
+def test_history_is_not_cut_at_block_edges(spark):
+    from motorloom.operators import quantities as q
+
+    rng = np.random.default_rng(4)
+    ids = range(0, 60_000, 100)  # a sparse source: 600 rows over 29 former blocks
+    rows = [("a", i, float(np.exp(11 + 0.1 * rng.normal() + (0.4758 if i >= 30_000 else 0)))) for i in ids]
+    df = spark.createDataFrame(rows, "k string, i bigint, v double")
+    for block in (50, 2048):
+        got = [(r.first_at, r.n, r.factor) for r in q.unit_shifts(df, "k", "i", "v", block=block).collect()]
+        assert got == [(0, 300, None), (30_000, 300, "mile")]
+    values = q.reversed_values(df, "k", "i", "v").collect()
+    assert len(values) == 600 and all(abs(r.common_value - r.recorded / (1.609344 if r.at >= 30_000 else 1)) < 1e-6 * r.recorded for r in values)
+
+
+def test_both_fields_of_each_source_are_segmented(spark, tmp_path):
+    rows = [(i, "s", 100_000 if i < 30 else 100, 5_000 if i < 40 else 5) for i in range(60)]
+    spark.createDataFrame(rows, "id bigint, source string, price int, mileage int").write.parquet(f"{tmp_path}/normalized_documents.parquet")
+    shifts = entry.queries()["p3_unit_shifts"](spark, str(tmp_path)).filter("factor is not null").collect()
+    assert sorted((r.field_name, r.key, r.first_at, r.factor) for r in shifts) == [("mileage", "s", 40, "1/thousand"), ("price", "s", 30, "1/thousand")]
+    values = entry.queries()["p3_unit_values"](spark, str(tmp_path)).collect()
+    assert {(r.field_name, round(r.common_value)) for r in values} == {("price", 100_000), ("mileage", 5_000)} and len(values) == 120
