@@ -456,6 +456,33 @@ def r01(s, d):
     return fields.join(brand, "id", "left").select("id", "brand", "price_max", "fuel", "color")
 
 
+@query("e14_query_city", f"""WITH t AS (SELECT id, {_TOKENS.format('raw_query')} AS word FROM search_events)
+  SELECT id, arg_min(city, ord) AS city, arg_min(region, ord) AS region FROM t JOIN city_dictionary USING (word) GROUP BY id""")
+def e14(s, d):
+    return ex.first_entry(table(s, d, "search_events"), "id", F.col("raw_query"), table(s, d, "city_dictionary"), "word", ["city", "region"], False)
+
+
+@query("r01_parse_full")
+def r01_full(s, d):
+    """Typed queries with all parts that r01_parse leaves out; a named brand limits the models, a model alone names its brand."""
+    log, low = table(s, d, "search_events"), F.lower("raw_query")
+    brand, city, words, mileage = r01(s, d), e14(s, d), e16(s, d), e07(s, d)
+    aliases = table(s, d, "model_aliases").select("alias_norm", "model", "ord", F.col("brand").alias("model_brand"))
+    parts = log.select("id", F.explode(F.array_distinct(ex.tokens(F.col("raw_query")))).alias("alias_norm"))
+    hits = parts.join(F.broadcast(aliases), "alias_norm").join(brand.select("id", "brand"), "id")  # dictionaries are bounded
+    rank = F.struct(-F.length("alias_norm"), "ord")
+    model = hits.filter("brand is null or brand = model_brand").groupBy("id").agg(*(F.min_by(c, rank).alias(c) for c in ("model", "model_brand")))
+    years = log.select("id", *(c.alias(n) for c, n in zip(ex.year_range(low), ("year_min", "year_max"))))
+    for part in (model, years, mileage, city, words):
+        brand = brand.join(part, "id", "left")
+    return brand.withColumn("brand", F.coalesce("brand", "model_brand")).drop("model_brand")
+
+
+@query("r20_top", f"SELECT query_id, id, score FROM ({_RANKED}) WHERE rank <= 50")
+def r20(s, d):
+    return _ranked(s, d, 50).select("query_id", "id", "score")
+
+
 @query("q18_route", """SELECT id, CASE WHEN raw_query IS NULL OR trim(raw_query) = '' THEN 'empty' WHEN regexp_matches(lower(raw_query), '[0-9]') THEN 'structured'
   WHEN len(string_split(trim(raw_query), ' ')) = 1 THEN 'brand_only' ELSE 'semantic' END AS route FROM search_events""")
 def q18(s, d):

@@ -95,3 +95,15 @@ def test_both_fields_of_each_source_are_segmented(spark, tmp_path):
     assert sorted((r.field_name, r.key, r.first_at, r.factor) for r in shifts) == [("mileage", "s", 40, "1/thousand"), ("price", "s", 30, "1/thousand")]
     values = entry.queries()["p3_unit_values"](spark, str(tmp_path)).collect()
     assert {(r.field_name, round(r.common_value)) for r in values} == {("price", 100_000), ("mileage", 5_000)} and len(values) == 120
+
+
+def test_parsed_query_has_every_part(spark, tmp_path):
+    make = lambda name, rows, schema: spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    make("search_events", [(1, "Келарион h6 бензин от 2015 до 109 тыс км до 2 млн Ольховск"), (2, "h6"), (3, None)], "id bigint, raw_query string")
+    make("brand_aliases", [("Kelarion", "келарион", 0)], "brand string, alias_norm string, ord int")
+    make("model_aliases", [("Other", "X6", "h6", 0), ("Kelarion", "H6", "h6", 1)], "brand string, model string, alias_norm string, ord int")
+    make("city_dictionary", [("ольховск", "Ольховск", "Край", 0)], "word string, city string, region string, ord int")
+    got = {r.id: r for r in entry.queries()["r01_parse_full"](spark, str(tmp_path)).collect()}
+    a = got[1]
+    assert (a.brand, a.model, a.fuel, a.price_max, a.year_min, a.mileage_max, a.city, a.region) == ("Kelarion", "H6", "petrol", 2_000_000, 2015, 109_000, "Ольховск", "Край")
+    assert "h6" in a.words and (got[2].brand, got[2].model) == ("Other", "X6") and len(got) == 3 and got[3].model is None
