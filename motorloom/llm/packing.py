@@ -1,11 +1,10 @@
 """Texts of varying length packed into containers of fixed capacity.
 
-Method: hierarchical packing by length tiers. Lengths (tokens of a public tokenizer)
+Method: best-fit decreasing; there are no context-size tiers. Lengths (tokens of a public tokenizer)
 are whole numbers up to the capacity, so the packing is planned on their histogram:
-tiers of halving context size are packed from the longest down, every tier first
-filling the gaps that longer tiers left (tightest gap first), then opening
-containers of its own. The plan holds patterns with multiplicities, bounded by the
-capacity and not by the corpus, and is as good as best-fit decreasing over all texts
+lengths are packed from the longest down, each first filling the gaps that longer
+ones left (tightest gap first), then opening containers of the full capacity. The plan holds patterns with multiplicities, bounded by the
+capacity and not by the corpus, and is best-fit decreasing over all texts
 at once. Texts are then dealt to the planned places by their rank among texts of
 equal length; ranks are taken in salted groups, so that one length may hold any
 share of the rows. Containers are dealt to step groups in snake order of their fill,
