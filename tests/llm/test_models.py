@@ -70,6 +70,30 @@ def test_neighbours_reach_recall_and_keep_copies(spark):
     assert mine[105] == [100, 101, 102, 103, 104]
 
 
+def test_visits_follow_the_priority_queue():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, 12)) + np.repeat(rng.normal(size=(60, 12)) * 2, 50, 0)
+    tree = neighbours.Tree(x, 12)
+    for q in x[::500].astype(np.float32):
+        queue = neighbours.best_bin_first(tree, q)
+        assert sorted(queue) == list(range(tree.leaves))
+        seen = tree.visits(q[None], tree.leaves)[0].tolist()
+        assert queue[0] == seen[0]
+        assert np.mean([len(set(queue[:n]) & set(seen[:n])) / n for n in (5, 20, 80)]) > 0.9
+
+
+def test_large_leaves_are_split_inside_their_cell():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(2000, 8)) + np.repeat(rng.normal(size=(40, 8)) * 3, 50, 0)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids = rng.permutation(2000)
+    none = np.zeros(2000, np.int32)
+    sims, near = neighbours.search_cell(x, ids, none, x, ids, none, np.arange(2000), 5, split=100)
+    true = _nearest(ids.tolist(), x, 5)
+    assert np.mean([len(set(n) & set(true[i])) / 5 for i, n in zip(ids.tolist(), near.tolist())]) > 0.97
+    assert not (near == ids[:, None]).any() and (np.diff(sims, axis=1) <= 0).all()
+
+
 def test_neighbours_of_few_and_none(spark):
     schema = "id bigint, vector array<float>"
     two = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.5, 0.5])], schema)
