@@ -37,16 +37,20 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/stash/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._stash = path  # type: ignore[attr-defined]
+    return back
+
+
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def drop_stash(*frames: DataFrame) -> None:
     """Delete the files behind stashed frames that no later plan reads."""
     for df in frames:
-        jvm = df.sparkSession._jvm
-        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        delete_folder(df.sparkSession, df._stash)  # type: ignore[attr-defined]
 
 
 def bounded_rows(df: DataFrame, most: int, what: str) -> list:
