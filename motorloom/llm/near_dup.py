@@ -112,54 +112,46 @@ def rarity_sketch(signed: DataFrame, bits: int = SKETCH_BITS, chunk_bits: int =
     return sketch
 
 
-def signature(grams: np.ndarray) -> np.ndarray:
-    """Parity bits of a set in a 256-bit field."""
-    slots = (grams & np.uint64(64 * SIGNATURE_WORDS - 1)).astype(np.int64)
-    bits = (np.bincount(slots, minlength=64 * SIGNATURE_WORDS) & 1).astype(np.uint8)
-    return np.packbits(bits).view(np.int64)
+def prefix_of(part: np.ndarray, levels: np.ndarray, threshold: float, drop_single: bool) -> tuple[np.ndarray, int]:
+    """Prefix members of one set, rare first, and the position of the first of them."""
+    level = levels[(part >> np.uint64(64 - int(len(levels)).bit_length() + 1)).astype(np.int64)]
+    order = np.lexsort((part, level))[: len(part) - int(np.ceil(threshold * len(part) - 1e-9)) + SHARED]
+    first = int(np.count_nonzero(level[order] == 0)) if drop_single else 0
+    return part[order[first:]], first
 
 
-def postings(
-    reps: DataFrame, sketch: np.ndarray, threshold: float, bits: int = SKETCH_BITS, drop_single: bool = True
-) -> DataFrame:
-    """One row per prefix member of each set: member, class, set size, position and signature.
+def rare_first(reps: DataFrame, sketch: np.ndarray, threshold: float, drop_single: bool = True) -> DataFrame:
+    """(cls, n, first, prefix): the prefix members of each set, rare first; ``first`` is the position of the first one.
 
-    ``drop_single`` leaves out members that the sketch proves to be in one set only.
+    ``drop_single`` leaves out members that the sketch proves to be in one set only;
+    they come first in the order.
     """
     held = reps.sparkSession.sparkContext.broadcast(zlib.compress(sketch.tobytes(), 1))
-    shift = np.uint64(64 - bits)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = np.frombuffer(zlib.decompress(held.value), np.uint8)
         for batch in batches:
-            grams, classes = batch.column("grams"), batch.column("cls").to_numpy()
+            grams = batch.column("grams")
             flat = grams.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            ends = grams.offsets.to_numpy() - grams.offsets[0].as_py()
-            out = ([], [], [], [], [])
-            for k, cls in enumerate(classes):
-                part = flat[ends[k] : ends[k + 1]]
-                level = levels[(part >> shift).astype(np.int64)]
-                order = np.lexsort((part, level))
-                size = len(part)
-                order = order[: size - int(np.ceil(threshold * size - 1e-9)) + SHARED]
-                at = np.flatnonzero(level[order]) if drop_single else np.arange(len(order))
-                out[0].append(part[order[at]])
-                out[1].append(np.full(len(at), cls, np.int64))
-                out[2].append(np.full(len(at), size, np.int32))
-                out[3].append(at.astype(np.int32))
-                out[4].append(np.repeat(signature(part)[None], len(at), 0))
-            if not len(classes):
-                continue
-            sig = np.concatenate(out[4])
-            cols = [np.concatenate(out[0]).view(np.int64), *(np.concatenate(x) for x in out[1:4])]
-            cols += [np.ascontiguousarray(sig[:, j]) for j in range(SIGNATURE_WORDS)]
+            ends = (grams.offsets.to_numpy() - grams.offsets[0].as_py()).tolist()
+            prefixes, sizes, firsts = [], [], []
+            for a, b in zip(ends, ends[1:]):
+                part, first = prefix_of(flat[a:b], levels, threshold, drop_single)
+                prefixes.append(part)
+                sizes.append(b - a)
+                firsts.append(first)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c) for c in cols], names=["gram", "cls", "n", "pos", "s0", "s1", "s2", "s3"]
+                [batch.column("cls"), pa.array(sizes, pa.int32()), pa.array(firsts, pa.int32()), _list_array(prefixes)],
+                names=["cls", "n", "first", "prefix"],
             )
 
-    return reps.select("cls", "grams").mapInArrow(
-        work, "gram bigint, cls bigint, n int, pos int, s0 bigint, s1 bigint, s2 bigint, s3 bigint"
-    )
+    return reps.select("cls", "grams").mapInArrow(work, "cls bigint, n int, first int, prefix array<bigint>")
+
+
+def postings(prefixes: DataFrame, *also: str) -> DataFrame:
+    """One row (gram, cls, n, pos) per prefix member of each set."""
+    one = prefixes.select("cls", "n", "first", *also, F.posexplode("prefix").alias("k", "gram"))
+    return one.select("gram", "cls", "n", (F.col("first") + F.col("k")).alias("pos"), *also)
 
 
 def candidates(left: DataFrame, right: DataFrame, threshold: float, same: bool = False) -> DataFrame:
@@ -168,11 +160,7 @@ def candidates(left: DataFrame, right: DataFrame, threshold: float, same: bool =
     ``same``: both are one table, and every unordered pair comes once, cls_a < cls_b.
     """
     a, b = left.alias("a"), right.alias("b")
-    total = F.col("a.n") + F.col("b.n")
-    need = total * F.lit(threshold / (1 + threshold)) - F.lit(1e-6)
-    apart: Column = sum(
-        (F.bit_count(F.col(f"a.s{j}").bitwiseXOR(F.col(f"b.s{j}"))) for j in range(SIGNATURE_WORDS)), F.lit(0)
-    )
+    need = (F.col("a.n") + F.col("b.n")) * F.lit(threshold / (1 + threshold)) - F.lit(1e-6)
     met = a.join(
         b,
         (F.col("a.gram") == F.col("b.gram"))
@@ -180,8 +168,7 @@ def candidates(left: DataFrame, right: DataFrame, threshold: float, same: bool =
         & (F.col("a.n") - F.col("a.pos") + (SHARED - 1) >= need)
         & (F.col("b.n") - F.col("b.pos") + (SHARED - 1) >= need)
         & (F.col("a.n") >= need)
-        & (F.col("b.n") >= need)
-        & ((total - apart) / F.lit(2) >= need),
+        & (F.col("b.n") >= need),
     ).select(F.col("a.cls").alias("cls_a"), F.col("b.cls").alias("cls_b"), F.least(F.lit(SHARED), F.ceil(need)).cast("int").alias("least"))
     counted = met.groupBy("cls_a", "cls_b").agg(F.count(F.lit(1)).alias("shared"), F.max("least").alias("least"))
     return counted.filter(F.col("shared") >= F.col("least")).select("cls_a", "cls_b")
@@ -241,7 +228,7 @@ def similar_classes(
     else:
         sets = stash(sets, "sets")
     sketch = rarity_sketch(sets)
-    posted = postings(sets, sketch, threshold)
+    posted = postings(rare_first(sets, sketch, threshold))
     found = candidates(posted, posted, threshold, same=True)
     pairs = stash(found, "pairs")
     ends = pairs.select(F.col("cls_a").alias("cls")).union(pairs.select("cls_b")).distinct()

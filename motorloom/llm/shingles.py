@@ -61,9 +61,8 @@ def ngram_set(text: str | None, n: int) -> np.ndarray:
     return np.unique(ngrams(word_hashes(text), n))
 
 
-def batch_word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of many texts in one array, and the offsets of each text in it."""
-    found = [WORD.findall(t.lower()) if t else () for t in texts]
+def hash_words(found: list) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of many word lists in one array, and the offsets of each list in it."""
     ends = np.cumsum(np.fromiter(map(len, found), dtype=np.int64, count=len(found)))
     flat = np.fromiter(
         (HASHES[w] for ws in found for w in ws), dtype=np.uint64, count=int(ends[-1]) if len(ends) else 0
@@ -73,7 +72,12 @@ def batch_word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 def batch_ngram_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
     """Sorted distinct n-grams of each text; the hashing runs once over the whole batch."""
-    flat, offsets = batch_word_hashes(texts)
+    return ngram_sets([WORD.findall(t.lower()) if t else () for t in texts], n)
+
+
+def ngram_sets(found: list, n: int) -> list[np.ndarray]:
+    """Sorted distinct n-grams of each list of words."""
+    flat, offsets = hash_words(found)
     grams = ngrams(flat, n)  # those that reach over the end of a text are never sliced below
     out = []
     for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):

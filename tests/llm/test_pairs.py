@@ -89,18 +89,36 @@ def simple_key(url):
     return re.sub(r"[?&]utm_\w+=\w+|/$|^https?://", "", url or "").lower() if url and "." in url else None
 
 
-@pytest.mark.parametrize("steps", [1, 3])
-def test_batches_equal_the_sequential_walk(spark, steps):
+@pytest.mark.parametrize("walk,batches", [(incremental.WALK, 6), (incremental.WALK, 1), (0, 3)])
+def test_batches_equal_the_sequential_walk(spark, walk, batches):
     rng = random.Random(4)
     urls = [None, "", "n/a", "https://"] + [f"{s}Host.example/p{k}{e}" for k in range(40) for s in ("http://", "https://", "") for e in ("", "/", "?utm_source=x")]
     rows = [(rng.choice(urls).replace("Host", rng.choice(["Host", "host"])) if rng.random() < 0.5 else None, t) for t in texts(3) if True]
     rows = [(u if u else None, t) for u, t in rows]
-    data = [(i, i * 6 // len(rows), u, t, 0) for i, (u, t) in enumerate(rows)]
+    data = [(i, i * batches // len(rows), u, t, 0) for i, (u, t) in enumerate(rows)]
     posts = spark.createDataFrame(data, "id bigint, batch_no int, source_url string, content string, kept int")
-    got = {(r.kept_id, r.id) for r in incremental.dedupe_batches(posts, steps).collect()}
+    got = {(r.kept_id, r.id) for r in incremental.dedupe_batches(posts, walk).collect()}
     assert got == greedy(rows, simple_key)
 
 
+def test_history_is_opened_again(spark, tmp_path):
+    schema = "id bigint, source_url string, content string"
+    words = " ".join(f"w{i}" for i in range(30))
+    first = [(1, "http://a.example/1", words), (2, None, "one two three\nfour five six"), (3, "b.example/x?ref=1", None), (None, None, words)]
+    folder = f"file://{tmp_path}/history"
+    assert {r.id: r.kept_id for r in incremental.admit(spark.createDataFrame(first, schema), incremental.History(spark, folder, 2)).collect()} == dict.fromkeys((1, 2, 3))
+    other = spark.newSession()  # knows the folder only
+    for t in other.catalog.listTables():
+        if t.name.startswith("accepted_"):
+            other.sql(f"DROP TABLE {t.name}")
+    again = incremental.History(other, folder)
+    assert (again.buckets, again.posts) == (2, 3)
+    second = [(4, "https://A.example/1/", "x"), (5, None, words.replace("w15", "v15")), (6, None, "one two three\nseven"), (7, "https://b.example/x", "ONE two, three! four five six")]
+    got = {r.id: (r.kept_id, r.coverage) for r in incremental.admit(other.createDataFrame(second, schema), again).collect()}
+    assert got == {4: (1, 0.0), 5: (1, 0.0), 6: (None, 0.75), 7: (2, 0.0)}
+    again.drop()
+
+
 def test_leaks_equal_brute_force(spark):
     rng = random.Random(2)
     words = [f"w{i}" for i in range(300)]
