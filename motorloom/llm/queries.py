@@ -24,6 +24,12 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return near_dup.pairs_of_rows(members, links).withColumnRenamed("grp", "field_name")
 
 
+def p1_members(spark: SparkSession, sf: str) -> DataFrame:
+    """Classes and number of linked classes of the very rows that ``p1_found`` pairs."""
+    members, links = near_dup.similar_classes(_posts(spark, sf), 3, 0.5, _normalized(spark, sf))
+    return near_dup.class_report(members, links).withColumnRenamed("grp", "field_name")
+
+
 def p1_classes(spark: SparkSession, sf: str) -> DataFrame:
     members, links = near_dup.similar_classes(_posts(spark, sf), 5, 0.8)
     return near_dup.class_report(members, links).select("id", "cls", "links")
@@ -112,7 +118,6 @@ QUERIES = {
     "p4_found": p4_found, "p4_neighbours": p4_neighbours,
     "p7_packed": p7_packed, "p7_fill": p7_fill,
     "p9_found": p9_found, "p9_mix": p9_mix,
-    
     "p6_found": p6_found, "p8_found": p8_found, "p8_items": p8_items,
-    "p1_found": p1_found, "p1_classes": p1_classes, "p2_found": p2_found, "p2_misses": p2_misses}
+    "p1_found": p1_found, "p1_members": p1_members, "p1_classes": p1_classes, "p2_found": p2_found, "p2_misses": p2_misses}
 ORACLES: dict[str, str] = {}
