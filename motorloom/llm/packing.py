@@ -1,14 +1,18 @@
 """Texts of varying length packed into containers of fixed capacity.
 
-Method: best-fit decreasing; there are no context-size tiers. Lengths (tokens of a public tokenizer)
-are whole numbers up to the capacity, so the packing is planned on their histogram:
-lengths are packed from the longest down, each first filling the gaps that longer
-ones left (tightest gap first), then opening containers of the full capacity. The plan holds patterns with multiplicities, bounded by the
-capacity and not by the corpus, and is best-fit decreasing over all texts
-at once. Texts are then dealt to the planned places by their rank among texts of
-equal length; ranks are taken in salted groups, so that one length may hold any
-share of the rows. Containers are dealt to step groups in snake order of their fill,
-which balances the tokens of each step.
+Method: hierarchical multi-length packing. Each length (tokens of a public tokenizer) is
+routed to the smallest context-size tier that holds it: the capacity, half of it, a
+quarter and so on. Tiers are packed from the longest to the shortest: a container of tier
+j has room for 2**j windows of the tier's size, one text each, longest first; what the
+windows of a container leave over is one gap, and it is filled from the shorter tiers,
+longest fitting text first, and last from what the tier itself still has.
+
+Lengths are whole numbers up to the capacity, so the packing is planned on their
+histogram. The plan holds patterns with multiplicities, bounded by the capacity and not by
+the corpus, and covers all texts at once. Texts are then dealt to the planned places by
+their rank among texts of equal length; ranks are taken in salted groups, so that one
+length may hold any share of the rows. Containers are dealt to step groups in snake order
+of their fill, which balances the tokens of each step.
 
 A text is split only if it alone exceeds the capacity: into full pieces and a rest.
 Defined results: null and empty texts take no tokens and lie in container 0; equal
@@ -19,6 +23,7 @@ ignored; the result doesn't depend on the partitioning of the input.
 from __future__ import annotations
 
 import base64
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import cache, reduce
 
@@ -35,6 +40,8 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Fixed value: the splitting pattern that goes with the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SALTS = 64
+#: Context-size tiers of one capacity.
+TIERS = 7
 
 
 @cache
@@ -58,42 +65,53 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
     return docs.mapInArrow(work, "doc_id bigint, tokens bigint")
 
 
+def tiers(capacity: int, most: int = TIERS) -> list[int]:
+    """Context sizes: the capacity and its halves, ``most`` at most."""
+    out = [capacity]
+    while out[-1] > 1 and len(out) < most:
+        out.append(out[-1] // 2)
+    return out
+
+
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:
     """Patterns (how many containers, {length: pieces in each}) for all lengths of the histogram."""
-    open_: dict[int, list[list]] = {}  # gap -> [containers, pattern]
-    for length in sorted((s for s in histogram if s > 0), reverse=True):
-        left = histogram[length]
-        for gap in sorted(g for g in open_ if g >= length):
-            while left and open_[gap]:
-                left = _fill(open_, gap, length, left)
-            if not left:
-                break
-        if left:
-            per = capacity // length
-            whole, rest = divmod(left, per)
-            if whole:
-                open_.setdefault(capacity - per * length, []).append([whole, {length: per}])
-            if rest:
-                open_.setdefault(capacity - rest * length, []).append([1, {length: rest}])
-    patterns = [(m, p) for groups in open_.values() for m, p in groups]
+    left = {s: n for s, n in histogram.items() if s > 0 and n > 0}
+    sizes = tiers(capacity)
+    routed: list[list[int]] = [[] for _ in sizes]
+    for length in sorted(left):
+        routed[max(j for j, size in enumerate(sizes) if size >= length)].append(length)
+    patterns: list[tuple[int, dict[int, int]]] = []
+    shorter: list[int] = sorted(left)
+    for size, own in zip(sizes, routed):
+        shorter = shorter[: len(shorter) - len(own)]  # rising; the lengths of this tier are its end
+        windows = capacity // size
+        for length in reversed(own):
+            while left[length]:
+                per = min(windows, capacity // length)
+                many, per = (left[length] // per, per) if left[length] >= per else (1, left[length])
+                left[length] -= many * per
+                open_ = [(many, {length: per}, per, capacity - per * length)]
+                while open_:
+                    many, pattern, used, gap = open_.pop()
+                    found = _longest(own, gap, left) if used < windows else None
+                    found = found or _longest(shorter, gap, left) or _longest(own, gap, left)
+                    if not found:
+                        patterns.append((many, pattern))
+                        continue
+                    some = min(many, left[found])
+                    left[found] -= some
+                    open_.append((some, pattern | {found: pattern.get(found, 0) + 1}, used + 1, gap - found))
+                    if some < many:
+                        open_.append((many - some, pattern, used, gap))
     return sorted(patterns, key=lambda x: (-sum(s * n for s, n in x[1].items()), sorted(x[1].items(), reverse=True)))
 
 
-def _fill(open_: dict[int, list[list]], gap: int, length: int, left: int) -> int:
-    """Put pieces of one length into one group of containers with one gap; what is left of them."""
-    many, pattern = open_[gap].pop()
-    per = gap // length
-    used = min(many, left // per)
-    if used < many:
-        open_[gap].append([many - used, pattern])
-    if used:
-        open_.setdefault(gap - per * length, []).append([used, pattern | {length: pattern.get(length, 0) + per}])
-        return left - used * per
-    open_[gap][-1][0] -= 1
-    if not open_[gap][-1][0]:
-        open_[gap].pop()
-    open_.setdefault(gap - left * length, []).append([1, pattern | {length: pattern.get(length, 0) + left}])
-    return 0
+def _longest(lengths: list[int], gap: int, left: dict[int, int]) -> int | None:
+    """The longest of the rising lengths that fits the gap and is not used up."""
+    for k in range(bisect_right(lengths, gap) - 1, -1, -1):
+        if left[lengths[k]]:
+            return lengths[k]
+    return None
 
 
 def places(patterns: list[tuple[int, dict[int, int]]]) -> dict[int, np.ndarray]:
@@ -132,8 +150,9 @@ def pack(counts: DataFrame, name: str, capacity: int, group: int = 64, salts: in
     held = counts.sparkSession.sparkContext.broadcast(where)
     before = Window.partitionBy("size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = tallied.select("size", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    # the offsets grow to capacity x salts rows: joined by a merge on the partitioning that the ranks need anyway
     rank = F.row_number().over(Window.partitionBy("size", "salt").orderBy("doc_id", "piece")) - 1
-    ranked = salted.withColumn("r", rank).join(offsets, ["size", "salt"]).withColumn("r", F.col("r") + F.col("offset"))
+    ranked = salted.withColumn("r", rank).join(offsets.hint("merge"), ["size", "salt"]).withColumn("r", F.col("r") + F.col("offset"))
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at = held.value
