@@ -100,7 +100,8 @@ def _subjects(spark: SparkSession, sf: str) -> DataFrame:
     examples = table(spark, sf, "subject_examples").select("text", "subject")
     items = table(spark, sf, "eval_items").select("text", F.lit(subjects.NONE).alias("subject"))
     listings = table(spark, sf, "normalized_documents").filter("sale_intent = 1 and normalized_text is not null")
-    sale = listings.select(F.col("normalized_text").alias("text"), F.lit("trade").alias("subject")).limit(1500)
+    sale = listings.select(F.col("normalized_text").alias("text"), F.lit("trade").alias("subject"))
+    sale = sale.orderBy(F.xxhash64("text"), "text").limit(1500)  # a bounded labelled sample, the same in any file layout
     return subjects.assign(table(spark, sf, "documents"), examples.unionByName(items).unionByName(sale), areas)
 
 
