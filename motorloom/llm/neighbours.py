@@ -102,22 +102,23 @@ class Tree:
         """(queries, leaves): a key by which best bin first visits leaves in falling order.
 
         The least similarity on the way to the leaf decides; leaves behind the same bottleneck
-        are told apart by the least similarity below it, at a thousandth of the weight.
+        are told apart by the least similarity below it, then by their own, at a thousandth of
+        the weight each.
         """
-        least = self.centres @ queries.T.astype(np.float32)
-        least -= 0.5 * (self.centres * self.centres).sum(1)[:, None]
-        below = least.copy()
-        least[0] = below[0] = np.float32(4)
+        own = self.centres @ queries.T.astype(np.float32)
+        own -= 0.5 * (self.centres * self.centres).sum(1)[:, None]
+        least, below = own.copy(), own.copy()
+        least[0] = below[0] = np.float32(np.inf)
         for level in self.levels:
             a, b = level[0], level[-1] + 1  # levels are runs of nodes
-            above = least[self.parent[level]]
-            own = below[a:b]
-            later = np.minimum(own, below[self.parent[level]])
-            np.copyto(own, later, where=least[a:b] > above)
+            above, under = least[self.parent[level]], below[self.parent[level]]
+            np.minimum(below[a:b], under, out=below[a:b], where=(own[a:b] > above) & (under > above))
             np.minimum(least[a:b], above, out=least[a:b])
-        below *= np.float32(1e-3)
-        least += below
-        return np.ascontiguousarray(least[self.node_of_leaf].T)
+        at = self.node_of_leaf
+        keys = least[at].astype(np.float64)
+        keys += below[at] * np.float32(1e-3)
+        keys += own[at] * np.float32(1e-6)
+        return np.ascontiguousarray(keys.T)
 
     def visits(self, queries: np.ndarray, most: int) -> np.ndarray:
         """For each query its first ``most`` leaves, best bin first."""
