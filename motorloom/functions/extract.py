@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from motorloom.plans.runtime import join_dictionary
+
 FUELS = (  # the order decides
     ("electric", "(^|[^а-яa-z])(электро|электромобиль|electric)([^а-яa-z]|$)"),
     ("hybrid", "(^|[^а-яa-z])(гибрид|hybrid)([^а-яa-z]|$)"),
@@ -80,6 +82,56 @@ def bound(c: Column, side: str, unit: str, scale: int) -> Column:
     return F.nullif(value, F.lit(0).cast("bigint"))
 
 
+def mileage_fallback(c: Column) -> Column:
+    """Kilometres by looser wordings, in order; null where speed is meant; 0 for unused cars."""
+    low = F.lower(c)
+    out = F.regexp_replace(F.translate(low, "\u00a0", " "), "([0-9])[.,]([0-9]{3})([^0-9a-zа-яё_]|$)", "$1$2$3")
+    out = F.regexp_replace(out, "(км|km)", " $1")
+    plain = lambda pattern: F.regexp_replace(F.nullif(F.regexp_extract(out, pattern, 1), F.lit("")), "[^0-9.]", "").try_cast("double")
+    found = F.array(
+        plain("пробег\\s*[:-]?\\s*([0-9][0-9\\s]{1,7})"),
+        plain("([0-9]{1,3}[\\s.,]?[0-9]{1,3})\\s*(?:км|km)"),
+        plain("([0-9]{1,3}(?:[.,][0-9]+)?)\\s*(?:тыс|т.км|ткм|k|к)(?:[^0-9a-zа-яё_]|$)") * 1000,
+        plain("([0-9]{4,7})\\s*(?:км|km)"),
+    )
+    first = F.try_element_at(F.filter(F.transform(found, lambda v: v.cast("bigint")), lambda v: v.between(1000, 1_500_000)), F.lit(1))
+    unused = out.contains("без пробега") & ~out.rlike("по рф|по россии|по р[.]ф[.]") & ~out.rlike("[0-9]{1,3}[\\s.,]?[0-9]{3}\\s*(км|km)")
+    return F.when(~low.rlike("км/ч|скорость"), F.coalesce(first, F.when(unused, F.lit(0).cast("bigint"))))
+
+
+def about_mileage(c: Column) -> Column:
+    return F.lower(c).rlike("пробег|км|km")
+
+
+#: Spellings of each fuel.
+FUEL_WORDS = {
+    "petrol": ("бензин", "бензиновый", "бенз", "petrol", "gasoline", "mpi", "tsi", "tfsi", "fsi"),
+    "diesel": ("дизель", "дизельный", "диз", "diesel", "tdi", "dci", "cdi"),
+    "hybrid": ("гибрид", "hybrid", "phev", "hev"),
+    "electric": ("электро", "электр", "electric", "ev"),
+    "gas": ("газ", "lpg", "gbo", "cng", "gas"),
+    "gas_petrol": ("газ/бензин", "газ бензин", "gas_petrol"),
+}
+
+
+def fuel_canonical(c: Column) -> Column:
+    """One of six fuels; null for any other word."""
+    low, out = F.lower(F.trim(c)), F.lit(None).cast("string")
+    for fuel_, words in FUEL_WORDS.items():
+        out = F.when(low.isin(*words), fuel_).otherwise(out)
+    return out
+
+
+def image_url(c: Column) -> Column:
+    return F.nullif(F.regexp_extract(c, "(?i)(https?://[^\\s\"'<>]+?[.](?:jpg|jpeg|png|webp))", 1), F.lit(""))
+
+
+def model_tokens(c: Column) -> Column:
+    """Words that look like a model: letters with digits, or hyphened; no years."""
+    plain = F.filter(F.split(F.lower(c), " "), lambda w: w.rlike("^[0-9a-zа-яё-]+$") & ~w.rlike("^(19|20)[0-9]{2}$"))
+    return F.array_distinct(F.filter(plain, lambda w: (w.rlike("[0-9]") & w.rlike("[a-zа-яё]")) | w.contains("-")))
+
+
 def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit("([a-zа-яё0-9][a-zа-яё0-9-]*)"), 1)
 
@@ -90,6 +142,6 @@ def first_entry(rows: DataFrame, key: str, text: Column, listing: DataFrame, ali
     Texts are split into tokens and joined by equality; the dictionary is never compared with every text.
     """
     parts = rows.select(F.col(key), F.explode(F.array_distinct(tokens(text))).alias(alias))
-    hits = parts.join(F.broadcast(listing.limit(100_000)), alias)  # dictionaries are bounded
+    hits = join_dictionary(parts, listing, alias)
     rank = F.struct(-F.length(alias), "ord") if longest else F.struct("ord")
     return hits.groupBy(key).agg(*(F.min_by(e, rank).alias(e) for e in entry))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motorloom.operators import quantities
-from motorloom.plans import registry, reports, texts  # noqa: F401  (both register their queries)
+from motorloom.plans import entities, registry, reports, texts  # noqa: F401  (they register their queries)
 from motorloom.plans.registry import Query, query
 from motorloom.sources.tables import table
 
