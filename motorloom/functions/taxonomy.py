@@ -16,10 +16,12 @@ EDGE = "[^0-9a-zа-яё_]"
 
 def norm(c: Column) -> Column:
     """Lower case; a single look-alike letter beside a digit or hyphen is Latin; separators are spaces; letters and digits stand apart."""
-    out = F.lower(squeeze(c))
+    low = out = F.lower(squeeze(c))
     for cyrillic, latin in LOOK_ALIKE:
         out = F.regexp_replace(out, f"(^|{EDGE}){cyrillic}([0-9-])", f"$1{latin}$2")
         out = F.regexp_replace(out, f"([0-9-]){cyrillic}({EDGE}|$)", f"$1{latin}$2")
+    letters = "".join(a for a, _ in LOOK_ALIKE)  # few texts hold such a letter at all
+    out = F.when(low.rlike(f"(^|{EDGE})[{letters}][0-9-]|[0-9-][{letters}]({EDGE}|$)"), out).otherwise(low)
     out = F.regexp_replace(out, "[-_/]+", " ")
     out = F.regexp_replace(out, "([a-zа-яё])([0-9])", "$1 $2")
     return squeeze(F.regexp_replace(out, "([0-9])([a-zа-яё])", "$1 $2"))

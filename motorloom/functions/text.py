@@ -30,7 +30,7 @@ def title_format(c: Column) -> Column:
     return squeeze(out)
 
 
-def join_thousands(c: Column) -> Column:
+def thousands(c: Column) -> Column:
     return F.regexp_replace(c, "(?<![0-9])([0-9]{1,3})[.,]([0-9]{3})(?![0-9])", "$1$2")
 
 
@@ -47,6 +47,31 @@ def meta_map(c: Column) -> Column:
     return F.when(head != "", F.transform_keys(F.str_to_map(head, F.lit(";"), F.lit("=")), lambda k, _: F.trim(k)))
 
 
+def meta_build(meta: dict[str, Column], c: Column) -> Column:
+    """The text under a ``_meta_`` header of the values that are there; unchanged without any."""
+    pairs = F.concat_ws("; ", *(F.concat(F.lit(f"{k}="), v.cast("string")) for k, v in meta.items()))
+    return F.when(pairs == "", c).otherwise(F.concat(F.lit("_meta_: "), pairs, F.lit("\n"), F.coalesce(c, F.lit(""))))
+
+
+#: Words of page frames, and marks at which a page's own text ends.
+FRAME_WORDS = ("Спецтехника", "Отзывы", "Каталог", "Шины", "Форумы", "ОСАГО", "ПДД", "Проверка по VIN")
+END_MARKS = ("Отзывы владельцев", "Мнения владельцев", "Вы смотрите раздел", 'В разделе "Продажа авто"', "Запчасти на", "Статистика цен", "О проекте Помощь Правила Для СМИ")
+
+
+def clean_text(c: Column) -> Column:
+    return squeeze(F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), "₽", " ₽ "), "|".join(FRAME_WORDS), ""))
+
+
+def strip_frame(c: Column, least: int = 200) -> Column:
+    """The text up to the first mark in list order that stands behind ``least`` characters, then up to a fourth price behind them."""
+    out = c
+    places = [F.locate(m, c) for m in END_MARKS]
+    first = F.coalesce(*(F.when(p > least, p) for p in places))
+    out = F.when(first.isNotNull(), F.trim(F.substring(c, F.lit(1), first - 1))).otherwise(c)
+    head = F.regexp_extract(out, r"(?s)^((?:.*?(?:^|[^0-9a-zа-яёA-ZА-ЯЁ_])[0-9][0-9\s]{2,10}\s*₽){3}.*?(?:^|[^0-9a-zа-яёA-ZА-ЯЁ_]))[0-9][0-9\s]{2,10}\s*₽", 1)
+    return F.when(F.length(head) > least, F.trim(head)).otherwise(out)
+
+
 def html_text(c: Column) -> Column:
     """Text of a page without scripts and styles."""
     out = F.regexp_replace(c, r"(?is)<(script|style|noscript)[^>]*>.*?</\1>", " ")

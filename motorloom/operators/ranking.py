@@ -2,28 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def cosine(a: str, b: str) -> Column:
-    """Cosine of two float arrays, summed in double; null where either has no length."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(norm > 0, dot(a, b) / norm)
-
-
-def top_k(queries: DataFrame, points: DataFrame, k: int, on: list[str]) -> DataFrame:
-    """The k best points of each query among those equal in ``on`` (the pre-filter is the join key)."""
-    scored = queries.join(points, on).withColumn("sim", F.round(cosine("query_vector", "vector"), 6))
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sim"), "point_id")))
-    return ranked.filter(F.col("rank") <= k)
+from motorloom.functions.text import canonical_url, norm_tok, strict_key
 
 
 def top_k_blocks(queries: DataFrame, points: DataFrame, k: int, on: str, query_block: int = 2_000, point_block: int = 20_000) -> DataFrame:
-    """``top_k`` for query sets that grow with the points: every pair is scored, in blocks of bounded size.
+    """The k best points of each query among those equal in ``on``, by cosine: every pair is scored, in blocks of bounded size.
 
     Queries and points are dealt to counted numbers of blocks by hash; each pair of blocks
     meets in one task per value of ``on``, which keeps the k best of its points, and the
@@ -66,15 +57,13 @@ def max_per_document(hits: DataFrame, key: str) -> DataFrame:
     return hits.groupBy("query_id", key).agg(F.max("sim").alias("sim"), F.max_by("point_id", best).alias("point_id"))
 
 
-def drop_reasons(brand: Column, price_max: Column, mileage_max: Column, year_min: Column, fuel: Column) -> Column:
-    """Reasons why a listing fails a query; unknown price, mileage and fuel pass, unknown year fails."""
+def drop_reasons(brand: Column, model: Column, mileage_max: Column, fuel: Column) -> Column:
+    """Reasons why a listing fails a query; unknown mileage and fuel pass, an unknown brand or model fails."""
     row = lambda c, why: F.when(c, why)
     return F.array_compact(F.array(
         row(brand.isNotNull() & (F.col("brand").isNull() | (F.col("brand") != brand)), "brand_mismatch"),
-        row(F.coalesce(F.col("price") > price_max, F.lit(False)), "price_over"),
+        row(model.isNotNull() & ~soft_model(F.col("model"), model), "model_mismatch"),
         row(F.coalesce(F.col("mileage") > mileage_max, F.lit(False)), "mileage_over"),
-        row(year_min.isNotNull() & F.col("year").isNull(), "year_missing"),
-        row(F.coalesce(F.col("year") < year_min, F.lit(False)), "year_under"),
         row(fuel.isNotNull() & F.coalesce(F.col("fuel") != fuel, F.lit(False)), "fuel_mismatch"),
     ))
 
@@ -98,42 +87,31 @@ def completeness(cols: list[str]) -> Column:
     return sum((F.col(c).isNotNull().cast("int") for c in cols), F.lit(0)).cast("double") / len(cols)
 
 
-def match(value: Column, wanted: Column, unknown: float = 0.5) -> Column:
-    return F.when(wanted.isNull() | value.isNull(), unknown).when(value == wanted, 1.0).otherwise(0.0)
-
-
-WEIGHTS = {"brand_match": 0.25, "price_fit": 0.20, "mileage_fit": 0.10, "freshness": 0.08, "completeness": 0.08, "fuel_match": 0.12}
-
-
-def score(fuel: Column, wanted_fuel: Column, year: Column) -> Column:
-    """Weighted mean of the signals with penalties for unknown or wrong fuel and unknown year."""
-    total = sum((F.col(k) * w for k, w in WEIGHTS.items()), F.lit(0.0)) / sum(WEIGHTS.values())
-    penalty = F.when(wanted_fuel.isNull(), 1.0).when(fuel.isNull(), 0.15).when(fuel != wanted_fuel, 0.01).otherwise(1.0)
-    return F.round(total * penalty * F.when(year.isNull(), 0.1).otherwise(1.0), 6)
-
-
-def ordered_dedup(rows: DataFrame, keys: list[str], most: int = 1500) -> DataFrame:
+def ordered_dedup(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Walk each query's rows by rank; a row goes if any of its keys was already accepted.
 
-    The walk is sequential by nature; it sees at most ``most`` rows of a query, the
-    retrieval depth, so no group is unbounded. Null keys match nothing.
+    The walk is sequential by nature. It streams a query's rows in order of rank and holds
+    the accepted keys only, so any number of rows of a query is walked. Null keys match nothing.
     """
-    deep = rows.filter(F.col("rank") <= most)
-
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("rank")
-        seen: dict[str, set] = {k: set() for k in keys}
-        keep = []
-        for row in group[keys].itertuples(index=False):
-            values = [(k, v) for k, v in zip(keys, row) if v is not None and v == v]
-            fresh = all(v not in seen[k] for k, v in values)
-            keep.append(fresh)
-            if fresh:
-                for k, v in values:
-                    seen[k].add(v)
-        return group[keep]
-
-    return deep.groupBy("query_id").applyInPandas(walk, deep.schema)
+    fields = [k for k in rows.columns]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, seen = None, {}
+        for batch in batches:
+            columns = [batch.column(k).to_pylist() for k in keys]
+            keep = []
+            for query, *values in zip(batch.column("query_id").to_pylist(), *columns):
+                if query != asked:
+                    asked, seen = query, {k: set() for k in keys}
+                fresh = all(v is None or v not in seen[k] for k, v in zip(keys, values))
+                keep.append(fresh)
+                if fresh:
+                    for k, v in zip(keys, values):
+                        if v is not None:
+                            seen[k].add(v)
+            yield batch.filter(pa.array(keep, pa.bool_())).select(fields)
+
+    return rows.repartition("query_id").sortWithinPartitions("query_id", "rank").mapInArrow(walk, rows.schema)
 
 
 def source_cap(rows: DataFrame, most: int) -> DataFrame:
@@ -174,3 +152,77 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75)
         asked.join(df, "word").join(tf, "word").crossJoin(F.broadcast(totals))  # totals: one row
         .groupBy("query_id", "id").agg(F.round(F.sum(part), 4).alias("score"))
     )
+
+
+def soft_model(have: Column, wanted: Column) -> Column:
+    """Whether a listing's model fits the wanted one: with digits letter for letter, else by words, joined words or their ends."""
+    strict = strict_key(have) == strict_key(wanted)
+    split = lambda c: F.filter(F.split(norm_tok(c), " "), lambda w: w != "")
+    a, b = split(have), split(wanted)
+    ja, jb = F.array_join(a, ""), F.array_join(b, "")
+    one = F.array_contains(a, jb) | (ja == jb)
+    several = F.forall(b, lambda w: F.array_contains(a, w)) | ja.startswith(jb) | ja.endswith(jb) | ((F.size(a) == 1) & F.array_contains(b, ja))
+    loose = (F.size(a) > 0) & (F.size(b) > 0) & F.when(F.size(b) == 1, one).otherwise(several)
+    return F.coalesce(F.when(wanted.rlike("[0-9]"), strict).otherwise((strict & (strict_key(wanted) != "")) | loose), F.lit(False))
+
+
+def text_match(parts: list[str], content: str, brand: Column, model: Column, fuel: Column, has_fuel: Column, keywords: Column) -> Column:
+    """Weighted mentions of the query's values in the listing's text (its content by the first 600 characters), over three, at most 1."""
+    text = norm_tok(F.concat_ws(" ", *parts, F.substring(content, 1, 600)))
+    named = F.coalesce(text.contains(norm_tok(brand)), F.lit(False))
+    modelled = F.coalesce(text.contains(norm_tok(model)) | F.translate(text, " ", "").contains(F.translate(norm_tok(model), " ", "")), F.lit(False))
+    words = F.coalesce(F.size(F.filter(keywords, lambda w: (norm_tok(w) != "") & text.contains(norm_tok(w)))), F.lit(0))
+    fits = F.coalesce(has_fuel == fuel, F.lit(False))
+    total = named.cast("double") * 1.5 + modelled.cast("double") * 1.5 + fits.cast("double") * 0.8 + F.greatest(words, F.lit(0)) * 0.15
+    return F.least(total / 3.0, F.lit(1.0))
+
+
+#: Prior quality by source; anything else has .5.
+PRIORS = {"auto_ru": 0.95, "avito": 0.90, "avito.ru": 0.90, "drom": 0.90, "drom.ru": 0.90, "telegram": 0.60, "unknown": 0.50}
+
+
+def source_quality(source: Column, address: Column) -> Column:
+    """Prior by name of the source, else by host, else by a known name inside the host."""
+    prior = F.create_map(*(F.lit(x) for kv in PRIORS.items() for x in kv))
+    name = F.lower(F.trim(F.coalesce(source, F.lit("unknown"))))
+    host = F.regexp_extract(F.lower(F.trim(address)), "^[a-z][a-z0-9+.-]*://([^/?#]*)", 1)
+    inside = F.when(host.contains("avito.ru"), PRIORS["avito.ru"]).when(host.contains("drom.ru"), PRIORS["drom.ru"])
+    return F.coalesce(F.try_element_at(prior, name), F.try_element_at(prior, host), inside, F.lit(0.5))
+
+
+#: Weights of the signals before they are scaled to one.
+FULL_WEIGHTS = {
+    "semantic": 0.25, "text_match": 0.20, "freshness": 0.10, "completeness": 0.08, "price_fit": 0.08, "mileage_fit": 0.06, "fuel_match": 0.12,
+    "brand_match": 0.15, "model_match": 0.18, "source_quality": 0.03, "sale_intent": 0.02, "representation_quality": 0.02, "bm25": 0.15,
+}
+
+
+def representation_quality(kind: Column) -> Column:
+    return F.when(kind == "title_boost", 1.0).when(kind == "title", 0.85).when(kind == "structured", 0.70).otherwise(0.50)
+
+
+def full_score(w_fuel: Column, fuel: Column, mileage_max: Column, mileage: Column, w_year: Column, year: Column) -> Column:
+    """Weighted mean of all signals (columns of their names), with penalties where a wanted value is unknown or missed."""
+    total = sum((F.col(k) * w for k, w in FULL_WEIGHTS.items()), F.lit(0.0)) / sum(FULL_WEIGHTS.values())
+    by_fuel = F.when(w_fuel.isNull(), 1.0).when(fuel.isNull(), 0.15).when(fuel != w_fuel, 0.01).otherwise(1.0)
+    young = F.coalesce(year >= 2024, F.lit(False))
+    by_mileage = F.when(mileage_max.isNull(), 1.0).when(mileage.isNull(), F.when(young, 1.0).otherwise(0.3)).when(mileage > mileage_max, 0.01).otherwise(1.0)
+    by_year = F.when(w_year.isNotNull() & year.isNull(), 0.1).otherwise(1.0)
+    return F.round(total * by_fuel * by_mileage * by_year, 6)
+
+
+def fingerprint(address: Column, brand: Column, model: Column, *numbers: str) -> Column:
+    """Host, path, brand, model and numbers of a listing in one string; missing parts are empty."""
+    canonical = canonical_url(address)
+    host = F.regexp_extract(canonical, "^[a-z][a-z0-9+.-]*://([^/?]*)", 1)
+    path = F.lower(F.regexp_extract(canonical, "^[a-z][a-z0-9+.-]*://[^/?]*([^?]*)", 1))
+    parts = [host, path, norm_tok(brand), norm_tok(model), *(F.col(n).cast("string") for n in numbers)]
+    return F.concat_ws("|", *(F.coalesce(p, F.lit("")) for p in parts))
+
+
+def multiplied(score: Column, w_fuel: Column, fuel: Column, w_model: Column, model: Column) -> Column:
+    """Score after the multipliers of fuel and model; at most 1."""
+    other = F.when(w_fuel == "electric", 0.3).otherwise(0.85)
+    by_fuel = F.when(w_fuel.isNull(), 1.0).when(F.coalesce(F.lower(fuel), F.lit("")) == w_fuel, 1.0).otherwise(other)
+    first = F.least(F.lit(1.0), F.round(score * by_fuel, 6))
+    return F.when(w_model.isNull(), first).when(soft_model(model, w_model), F.least(F.lit(1.0), first * 1.4)).otherwise(F.round(first * 0.6, 6))

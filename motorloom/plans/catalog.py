@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motorloom.operators import quantities
-from motorloom.plans import entities, registry, reports, texts  # noqa: F401  (they register their queries)
+from motorloom.plans import entities, posts, registry, reports, search, texts  # noqa: F401  (they register their queries)
 from motorloom.plans.registry import Query, query
 from motorloom.sources.tables import table
 
@@ -44,7 +44,7 @@ def p3_unit_values(spark: SparkSession, folder: str) -> DataFrame:
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
     """Batch search over all vectors: filter, cosine, best per document, top k of every query."""
-    return registry.QUERIES["v13_max_per_doc_due"](spark, folder)
+    return registry.QUERIES["v13_max_per_doc"](spark, folder)
 
 
 def queries() -> dict[str, Query]:

@@ -171,15 +171,6 @@ def e20(s, d):
     return ex.first_entry(table(s, d, RAW), "id", F.col("title"), table(s, d, "model_aliases"), "alias_norm", ["brand", "model"], True)
 
 
-def _hits(words: tuple[str, ...]) -> str:
-    return "(" + " + ".join(f"CAST(contains(t, '{w}') AS INT)" for w in words) + ")"
-
-
-@query("q01_sale_score", f"SELECT id, CAST(2 * {_hits(gates.SALE_WORDS)} + CAST(regexp_matches(t, '[0-9] ?(руб|₽|тыс|млн)') AS INT) - 2 * {_hits(gates.TALK_WORDS)} AS INT) AS score FROM (SELECT id, lower(content) AS t FROM raw_documents)")
-def q01(s, d):
-    return table(s, d, RAW).select("id", gates.sale_score(F.col("content")).alias("score"))
-
-
 @query("q04_quality", """SELECT id, round(least(CASE WHEN price IS NOT NULL THEN 0.25::DOUBLE ELSE 0 END + CASE WHEN year IS NOT NULL THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN mileage IS NOT NULL THEN 0.15::DOUBLE ELSE 0 END
   + CASE WHEN fuel IS NOT NULL THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN brand IS NOT NULL THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN model IS NOT NULL THEN 0.25::DOUBLE ELSE 0 END, 1.0::DOUBLE), 3) AS quality FROM normalized_documents""")
 def q04(s, d):
@@ -187,20 +178,6 @@ def q04(s, d):
     return table(s, d, NORM).select("id", gates.quality_signals(c("price"), c("year"), c("mileage"), c("fuel"), c("brand"), c("model")).alias("quality"))
 
 
-_SKIP = f"""CASE WHEN trim(t) = '' THEN 'empty' WHEN {_hits(gates.PARTS_WORDS)} > 0 THEN 'parts_listing' WHEN length(trim(t)) < 40 THEN 'too_short'
-  WHEN {_hits(gates.TALK_WORDS)} > 0 AND {_hits(gates.SALE_WORDS)} = 0 THEN 'talk' WHEN NOT regexp_matches(t, '[0-9]') THEN CASE WHEN starts_with(source, 'board') THEN 'low_entity_signal_marketplace' ELSE 'low_entity_signal' END ELSE 'ok' END"""
-
-
-@query("q05_skip_reason", f"SELECT id, {_SKIP} AS reason FROM (SELECT id, source, lower(coalesce(content, '')) AS t FROM raw_documents)")
-def q05(s, d):
-    return table(s, d, RAW).select("id", gates.skip_reason(F.col("content"), F.col("source")).alias("reason"))
-
-
-@query("q21_skip_counts", f"SELECT reason, count(*) AS n FROM (SELECT {_SKIP} AS reason FROM (SELECT source, lower(coalesce(content, '')) AS t FROM raw_documents)) GROUP BY 1")
-def q21(s, d):
-    return q05(s, d).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("q11_listing_quality", """SELECT id, round(least(CASE WHEN brand IS NOT NULL THEN 0.35::DOUBLE ELSE 0 END + CASE WHEN model IS NOT NULL THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN coalesce(price, 0) <> 0 THEN 0.2::DOUBLE ELSE 0 END
   + CASE WHEN coalesce(year, 0) <> 0 THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN coalesce(mileage, 0) <> 0 THEN 0.05::DOUBLE ELSE 0 END + CASE WHEN city IS NOT NULL THEN 0.05::DOUBLE ELSE 0 END + CASE WHEN fuel IS NOT NULL THEN 0.05::DOUBLE ELSE 0 END + 0.15::DOUBLE, 1.0::DOUBLE), 4) AS quality FROM normalized_documents""")
 def q11(s, d):
@@ -259,28 +236,6 @@ def v10(s, d):
 
 
 def _hits_frame(s, d, k=10):
-    e = table(s, d, "embeddings")
-    q = e.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"), "label")
-    p = e.select(F.col("vec_id").alias("point_id"), F.col("embedding").alias("vector"), "label")
-    return rk.top_k(F.broadcast(q), p, k, ["label"])  # twenty queries
-
-
-_TOPK = """SELECT q.vec_id AS query_id, p.vec_id AS point_id, p.label, round(list_cosine_similarity(q.embedding::DOUBLE[], p.embedding::DOUBLE[]), 6) AS sim
-  FROM embeddings q JOIN embeddings p ON q.label = p.label WHERE q.vec_id < 20
-  QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], p.embedding::DOUBLE[]), 6) DESC, p.vec_id) <= 10"""
-
-
-@query("v11_topk", _TOPK)
-def v11(s, d):
-    return _hits_frame(s, d).select("query_id", "point_id", "label", "sim")
-
-
-@query("v13_max_per_doc", f"SELECT query_id, point_id // 3 AS doc_id, max(sim) AS sim, arg_max(point_id, (sim, -point_id)) AS point_id FROM ({_TOPK}) GROUP BY 1, 2")
-def v13(s, d):
-    return rk.max_per_document(_hits_frame(s, d).withColumn("doc_id", F.floor(F.col("point_id") / 3)), "doc_id")
-
-
-def _due_frame(s, d, k=10):
     """Every vector whose id is divisible by 100 asks all vectors; the set grows with the table."""
     e = table(s, d, "embeddings")
     q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"), "label")
@@ -288,140 +243,26 @@ def _due_frame(s, d, k=10):
     return rk.top_k_blocks(q, p, k, "label")
 
 
-_DUE = """SELECT q.vec_id AS query_id, p.vec_id AS point_id, p.label, round(list_cosine_similarity(q.embedding::DOUBLE[], p.embedding::DOUBLE[]), 6) AS sim
+_TOPK = """SELECT q.vec_id AS query_id, p.vec_id AS point_id, p.label, round(list_cosine_similarity(q.embedding::DOUBLE[], p.embedding::DOUBLE[]), 6) AS sim
   FROM embeddings q JOIN embeddings p ON q.label = p.label WHERE q.vec_id % 100 = 0
   QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], p.embedding::DOUBLE[]), 6) DESC, p.vec_id) <= 10"""
 
 
-@query("v11_topk_due", _DUE)
-def v11_due(s, d):
-    return _due_frame(s, d).select("query_id", "point_id", "label", "sim")
+@query("v11_topk", _TOPK)
+def v11(s, d):
+    return _hits_frame(s, d).select("query_id", "point_id", "label", "sim")
 
 
-@query("v12_multi_query_due", f"SELECT query_id // 300 AS request, point_id, max(sim) AS sim FROM ({_DUE}) GROUP BY 1, 2")
-def v12_due(s, d):
+@query("v12_multi_query", f"SELECT query_id // 300 AS request, point_id, max(sim) AS sim FROM ({_TOPK}) GROUP BY 1, 2")
+def v12(s, d):
     """Requests of up to three vectors."""
-    hits = _due_frame(s, d).withColumn("request", F.floor(F.col("query_id") / 300))
+    hits = _hits_frame(s, d).withColumn("request", F.floor(F.col("query_id") / 300))
     return hits.groupBy("request", "point_id").agg(F.max("sim").alias("sim"))
 
 
-@query("v13_max_per_doc_due", f"SELECT query_id, point_id // 3 AS doc_id, max(sim) AS sim, arg_max(point_id, (sim, -point_id)) AS point_id FROM ({_DUE}) GROUP BY 1, 2")
-def v13_due(s, d):
-    return rk.max_per_document(_due_frame(s, d).withColumn("doc_id", F.floor(F.col("point_id") / 3)), "doc_id")
-
-
-_ASKED = "(VALUES (1, 'brand#1', 950000, 300000, 1990, 'petrol'), (2, NULL, 970000, NULL, NULL, 'diesel'), (3, 'brand#7', NULL, 100000, 2000, NULL)) AS q(query_id, w_brand, price_max, mileage_max, year_min, w_fuel)"
-
-
-def _asked(s):
-    rows = [(1, "brand#1", 950000, 300000, 1990, "petrol"), (2, None, 970000, None, None, "diesel"), (3, "brand#7", None, 100000, 2000, None)]
-    return s.createDataFrame(rows, "query_id int, w_brand string, price_max int, mileage_max int, year_min int, w_fuel string")
-
-
-def _pairs(s, d):
-    """A stated set of three queries against all listings."""
-    return fx.listings(s, d).crossJoin(F.broadcast(_asked(s)))
-
-
-@query("r05_drop_reasons", f"""SELECT query_id, reason, count(*) AS n FROM (SELECT query_id, unnest(list_filter([
-  CASE WHEN w_brand IS NOT NULL AND (brand IS NULL OR brand <> w_brand) THEN 'brand_mismatch' END, CASE WHEN price > price_max THEN 'price_over' END,
-  CASE WHEN mileage > mileage_max THEN 'mileage_over' END, CASE WHEN year_min IS NOT NULL AND year IS NULL THEN 'year_missing' END,
-  CASE WHEN year < year_min THEN 'year_under' END, CASE WHEN w_fuel IS NOT NULL AND fuel <> w_fuel THEN 'fuel_mismatch' END], lambda x: x IS NOT NULL)) AS reason
-  FROM ({fx.LISTINGS_SQL}) l CROSS JOIN {_ASKED}) GROUP BY 1, 2""")
-def r05(s, d):
-    c = F.col
-    why = rk.drop_reasons(c("w_brand"), c("price_max"), c("mileage_max"), c("year_min"), c("w_fuel"))
-    return _pairs(s, d).select("query_id", F.explode(why).alias("reason")).groupBy("query_id", "reason").agg(F.count(F.lit(1)).alias("n"))
-
-
-_SIGNALS = f"""SELECT l.id, l.source, l.brand, query_id,
-  CASE WHEN w_brand IS NULL OR brand IS NULL THEN 0.5::DOUBLE WHEN brand = w_brand THEN 1.0 ELSE 0.0 END AS brand_match,
-  CASE WHEN price IS NULL THEN 0.15::DOUBLE WHEN price > price_max THEN 0.05 ELSE greatest(0.0, 1.0 - price / coalesce(price_max, 5000000)::DOUBLE) END AS price_fit,
-  CASE WHEN mileage IS NULL THEN CASE WHEN mileage_max IS NOT NULL THEN 0.15::DOUBLE ELSE 0.5 END ELSE least(1.0, greatest(0.0, 1.0 - mileage / coalesce(mileage_max, 250000)::DOUBLE)) END AS mileage_fit,
-  least(1.0, greatest(0.0, 1.0 - ((1704844800 - (1704844800 - l.id * 7200)) / 86400.0::DOUBLE) / 180.0::DOUBLE)) AS freshness,
-  (CAST(brand IS NOT NULL AS INT) + CAST(model IS NOT NULL AS INT) + CAST(year IS NOT NULL AS INT) + CAST(price IS NOT NULL AS INT) + CAST(mileage IS NOT NULL AS INT) + CAST(fuel IS NOT NULL AS INT)) / 6.0::DOUBLE AS completeness,
-  CASE WHEN w_fuel IS NULL OR fuel IS NULL THEN 0.5::DOUBLE WHEN fuel = w_fuel THEN 1.0 ELSE 0.0 END AS fuel_match, fuel, w_fuel, year
-  FROM ({fx.LISTINGS_SQL}) l CROSS JOIN {_ASKED}"""
-_SCORED = f"""SELECT id, source, brand, query_id, round((brand_match * 0.25::DOUBLE + price_fit * 0.20::DOUBLE + mileage_fit * 0.10::DOUBLE + freshness * 0.08::DOUBLE + completeness * 0.08::DOUBLE + fuel_match * 0.12::DOUBLE) / 0.83::DOUBLE
-  * CASE WHEN w_fuel IS NULL THEN 1.0::DOUBLE WHEN fuel IS NULL THEN 0.15 WHEN fuel <> w_fuel THEN 0.01 ELSE 1.0 END * CASE WHEN year IS NULL THEN 0.1::DOUBLE ELSE 1.0 END, 6) AS score FROM ({_SIGNALS})"""
-
-
-def _signals(s, d):
-    c = F.col
-    return _pairs(s, d).withColumns({
-        "brand_match": rk.match(c("brand"), c("w_brand")), "price_fit": rk.price_fit(c("price"), c("price_max")),
-        "mileage_fit": rk.mileage_fit(c("mileage"), c("mileage_max")), "freshness": rk.freshness(F.lit(AS_OF) - c("id") * 7200, AS_OF),
-        "completeness": rk.completeness(["brand", "model", "year", "price", "mileage", "fuel"]), "fuel_match": rk.match(c("fuel"), c("w_fuel")),
-    })
-
-
-@query("r13_signals", f"SELECT id, query_id, round(brand_match, 6) AS brand_match, round(price_fit, 6) AS price_fit, round(mileage_fit, 6) AS mileage_fit, round(freshness, 6) AS freshness, round(completeness, 6) AS completeness, round(fuel_match, 6) AS fuel_match FROM ({_SIGNALS})")
-def r13(s, d):
-    return _signals(s, d).select("id", "query_id", *(F.round(k, 6).alias(k) for k in rk.WEIGHTS))
-
-
-def _scored(s, d):
-    c = F.col
-    return _signals(s, d).withColumn("score", rk.score(c("fuel"), c("w_fuel"), c("year"))).select("id", "source", "brand", "query_id", "score")
-
-
-@query("r15_score", f"SELECT id, query_id, score FROM ({_SCORED})")
-def r15(s, d):
-    return _scored(s, d).select("id", "query_id", "score")
-
-
-_RANKED = f"SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM ({_SCORED}) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 500"
-
-
-def _ranked(s, d, k=500):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return _scored(s, d).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-
-@query("r18_ordered_dedup")
-def r18(s, d):
-    keyed = _ranked(s, d).withColumns({"listing": F.col("id") % 97, "page": F.concat("brand", F.lit("|"), (F.col("id") % 13).cast("string"))})
-    return rk.ordered_dedup(keyed, ["listing", "page"]).select("query_id", "id", "rank")
-
-
-@query("r19_source_cap", f"SELECT query_id, id, source FROM ({_RANKED}) QUALIFY row_number() OVER (PARTITION BY query_id, source ORDER BY rank) <= 20")
-def r19(s, d):
-    return rk.source_cap(_ranked(s, d), 20).select("query_id", "id", "source")
-
-
-@query("r21_blend", f"""SELECT query_id, id, round(score * 0.8::DOUBLE + CASE WHEN max(x) OVER w > min(x) OVER w THEN (x - min(x) OVER w) / (max(x) OVER w - min(x) OVER w) ELSE 0.5 END * 0.2::DOUBLE, 5) AS v
-  FROM (SELECT *, (id % 101)::DOUBLE AS x FROM ({_RANKED}) WHERE rank <= 50) WINDOW w AS (PARTITION BY query_id)""")
-def r21(s, d):
-    top = _ranked(s, d, 50).withColumn("x", (F.col("id") % 101).cast("double"))
-    return top.select("query_id", "id", F.round(rk.blend(F.col("score"), F.col("x"), ["query_id"]), 5).alias("v"))
-
-
-@query("r22_brand_guard", f"""SELECT query_id, id FROM (SELECT *, CASE query_id WHEN 1 THEN 'brand#1' WHEN 3 THEN 'brand#7' END AS want FROM ({_RANKED}))
-  QUALIFY coalesce(brand = want, FALSE) OR NOT coalesce(max(CAST(brand = want AS INT)) OVER (PARTITION BY query_id), 0) = 1""")
-def r22(s, d):
-    from pyspark.sql import Window
-
-    rows = _ranked(s, d).withColumn("want", F.when(F.col("query_id") == 1, "brand#1").when(F.col("query_id") == 3, "brand#7"))
-    hit = F.coalesce(F.col("brand") == F.col("want"), F.lit(False))
-    return rows.withColumn("any", F.max(hit).over(Window.partitionBy("query_id"))).filter(hit | ~F.col("any")).select("query_id", "id")
-
-
-@query("r26_page", f"SELECT query_id, id, rank AS pos FROM ({_RANKED}) WHERE rank BETWEEN 41 AND 60")
-def r26(s, d):
-    return rk.page(_ranked(s, d), 3, 20).select("query_id", "id", F.col("pos").cast("bigint").alias("pos"))
-
-
-@query("r27_source_counts", f"SELECT query_id, source, count(*) AS n FROM ({_RANKED}) GROUP BY 1, 2")
-def r27(s, d):
-    return _ranked(s, d).groupBy("query_id", "source").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("r29_precision", f"SELECT query_id, round(avg(CAST(coalesce(brand = CASE query_id WHEN 1 THEN 'brand#1' ELSE 'brand#7' END, FALSE) AS INT)), 3) AS p_brand FROM ({_RANKED}) WHERE rank <= 10 GROUP BY 1")
-def r29(s, d):
-    want = F.when(F.col("query_id") == 1, "brand#1").otherwise("brand#7")
-    return _ranked(s, d, 10).groupBy("query_id").agg(F.round(F.avg(F.coalesce(F.col("brand") == want, F.lit(False)).cast("int")), 3).alias("p_brand"))
+@query("v13_max_per_doc", f"SELECT query_id, point_id // 3 AS doc_id, max(sim) AS sim, arg_max(point_id, (sim, -point_id)) AS point_id FROM ({_TOPK}) GROUP BY 1, 2")
+def v13(s, d):
+    return rk.max_per_document(_hits_frame(s, d).withColumn("doc_id", F.floor(F.col("point_id") / 3)), "doc_id")
 
 
 @query("r14_bm25", """WITH w AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '([a-zа-яё0-9][a-zа-яё0-9-]*)', 1)) AS word FROM documents),
@@ -436,13 +277,6 @@ def r14(s, d):
     return rk.bm25(docs, asked.select(F.col("id").alias("query_id"), ex.tokens(F.col("raw_query")).alias("words")))
 
 
-@query("v12_multi_query", f"SELECT query_id % 4 AS request, point_id, max(sim) AS sim FROM ({_TOPK}) GROUP BY 1, 2")
-def v12(s, d):
-    """Several vectors of one request: hits are united, the best similarity stays."""
-    hits = _hits_frame(s, d).withColumn("request", F.col("query_id") % 4)
-    return hits.groupBy("request", "point_id").agg(F.max("sim").alias("sim"))
-
-
 @query("r01_parse", f"""WITH t AS (SELECT id, {_TOKENS.format('raw_query')} AS alias_norm FROM search_events),
   b AS (SELECT id, arg_min(brand, (-length(alias_norm), ord)) AS brand FROM t JOIN brand_aliases USING (alias_norm) GROUP BY id)
   SELECT e.id, b.brand, nullif(CAST(TRY_CAST(replace(nullif(regexp_extract(lower(raw_query), '(?:^|[^а-я])до ([0-9]+(?:[.,][0-9]+)?) ?(?:млн)', 1), ''), ',', '.') AS DECIMAL(14,3)) * 1000000 AS BIGINT), 0) AS price_max,
@@ -478,11 +312,6 @@ def r01_full(s, d):
     return brand.withColumn("brand", F.coalesce("brand", "model_brand")).drop("model_brand")
 
 
-@query("r20_top", f"SELECT query_id, id, score FROM ({_RANKED}) WHERE rank <= 50")
-def r20(s, d):
-    return _ranked(s, d, 50).select("query_id", "id", "score")
-
-
 @query("q18_route", """SELECT id, CASE WHEN raw_query IS NULL OR trim(raw_query) = '' THEN 'empty' WHEN regexp_matches(lower(raw_query), '[0-9]') THEN 'structured'
   WHEN len(string_split(trim(raw_query), ' ')) = 1 THEN 'brand_only' ELSE 'semantic' END AS route FROM search_events""")
 def q18(s, d):

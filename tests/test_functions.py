@@ -14,7 +14,7 @@ def one(spark, value, f, kind="string"):
     [
         (text.norm_tok, "BMW-X5_2019/дизель", "bmw x 5 2019 дизель"),
         (text.strict_key, "X-5 M", "x5m"),
-        (text.join_thousands, "120.000 км", "120000 км"),
+        (text.thousands, "120.000 км", "120000 км"),
         (text.canonical_url, "HTTPS://Auto.Example.RU/Bmw/x5/?utm_source=a&id=5&ref=z#top", "https://auto.example.ru/Bmw/x5?id=5"),
         (text.canonical_url, "http://a.example/x?from=mail&id=5", "http://a.example/x?from=mail&id=5"),
         (lambda c: text.canonical_url(c, True), "http://a.example/x?from=mail&id=5", "http://a.example/x?id=5"),

@@ -14,7 +14,7 @@ def test_every_hundredth_vector_is_asked(spark, tmp_path):
     rows = [(i, [float(x) for x in v[i]], i % 3) for i in range(701)]
     spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = {}
-    for r in entry.queries()["v11_topk_due"](spark, str(tmp_path)).collect():
+    for r in entry.queries()["v11_topk"](spark, str(tmp_path)).collect():
         got.setdefault(r.query_id, {})[r.point_id] = r.sim
     assert sorted(got) == list(range(0, 701, 100))
     unit = v.astype("float64") / np.maximum(np.linalg.norm(v.astype("float64"), axis=1, keepdims=True), 1e-300)
@@ -22,7 +22,7 @@ def test_every_hundredth_vector_is_asked(spark, tmp_path):
         same = [i for i in range(701) if i % 3 == q % 3 and i != 300]
         best = sorted(same, key=lambda i: (-round(float(unit[i] @ unit[q]), 6), i))[:10]
         assert sorted(got[q]) == sorted(best)
-    assert {r.query_id for r in entry.queries()["v13_max_per_doc_due"](spark, str(tmp_path)).select("query_id").collect()} == set(got)
+    assert {r.query_id for r in entry.queries()["v13_max_per_doc"](spark, str(tmp_path)).select("query_id").collect()} == set(got)
 
 
 def test_blocks_do_not_change_the_hits(spark):
@@ -41,7 +41,7 @@ def test_every_order_is_held_or_new(spark, tmp_path):
     day = lambda year: datetime.datetime(year, 5, 1)
     rows = [(2, 1, day(1999)), (5, 1, day(1999)), (8, 2, None), (11, 3, day(1995)), (12, 3, day(1999)), (14, None, day(1999))]
     spark.createDataFrame(rows, "o_orderkey bigint, o_custkey bigint, o_orderdate timestamp_ntz").write.parquet(f"{tmp_path}/orders.parquet")
-    got = [r.id for r in entry.queries()["m06_insert_absent_dated"](spark, str(tmp_path)).collect()]
+    got = [r.id for r in entry.queries()["m06_insert_absent"](spark, str(tmp_path)).collect()]
     assert sorted(got) == [2, 8, 14]
 
 
