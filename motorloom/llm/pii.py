@@ -35,6 +35,8 @@ TYPES = ("email", "phone", "id_number", "address", "name")
 TAGS = ["O"] + [f"{p}-{t}" for t in TYPES for p in "BI"]
 WINDOW, OVERLAP = 200, 60
 _CACHE_LIMIT = 150_000
+#: Stretches of similar length that are read together, and posts whose stretches are sorted together.
+BLOCK, POSTS = 1024, 2000
 WEIGHTS = Path(__file__).with_name("pii_weights.npz")
 
 _LOWER, _RU = "abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщъыьэюяё"
@@ -80,10 +82,10 @@ class Model:
     def __init__(self, weights: dict[str, np.ndarray]):
         w = {k: np.asarray(v, np.float32) for k, v in weights.items()}
         self.hidden = w["uf"].shape[0]
-        half = np.ones(4 * self.hidden, np.float32)
-        half[: 3 * self.hidden] = 0.5  # a sigmoid is half a tanh of half its argument
-        self.tables = [w["pf"] * half, w["pb"] * half]
-        self.steps = [w["uf"] * half, w["ub"] * half]
+        sign = np.full(4 * self.hidden, -1, np.float32)
+        sign[3 * self.hidden :] = -2  # all four gates by one exponential: 1 / (1 + e^-x), and tanh x = 2 / (1 + e^-2x) - 1
+        self.tables = [w["pf"] * sign, w["pb"] * sign]
+        self.steps = [w["uf"] * sign, w["ub"] * sign]
         self.out, self.bias, self.moves = w["wo"], w["bo"], w["tr"]
 
     @classmethod
@@ -95,6 +97,7 @@ class Model:
         """Tag scores (length, batch, tags) of padded sequences (length, batch)."""
         total = np.zeros((*codes.shape, len(TAGS)), np.float32)
         H = self.hidden
+        g, at, new = (np.empty((codes.shape[1], k), np.float32) for k in (4 * H, 4 * H, H))
         for way in (0, 1):
             h = np.zeros((codes.shape[1], H), np.float32)
             c = np.zeros_like(h)
@@ -105,15 +108,25 @@ class Model:
                     fresh = lengths - 1 == t
                     h[fresh] = 0
                     c[fresh] = 0
-                g = h @ step
-                g += table[codes[t]]
-                np.tanh(g, out=g)
-                gates = g[:, : 3 * H]
-                gates *= 0.5
-                gates += 0.5
+                np.matmul(h, step, out=g)
+                g += np.take(table, codes[t], axis=0, out=at, mode="clip")
+                np.clip(g, -80, 80, out=g)
+                np.exp(g, out=g)
+                g += 1
+                np.reciprocal(g, out=g)
+                into = g[:, :H]
+                np.multiply(into, g[:, 3 * H :], out=new)
+                new *= 2
+                new -= into
                 c *= g[:, H : 2 * H]
-                c += g[:, :H] * g[:, 3 * H :]
-                np.tanh(c, out=h)
+                c += new
+                np.multiply(c, -2, out=h)
+                np.clip(h, -80, 80, out=h)
+                np.exp(h, out=h)
+                h += 1
+                np.reciprocal(h, out=h)
+                h *= 2
+                h -= 1
                 h *= g[:, 2 * H : 3 * H]
                 hs[t] = h
             total += (hs.reshape(-1, H) @ part).reshape(total.shape)
@@ -174,8 +187,8 @@ class Model:
         pieces.sort(key=lambda p: len(p[2]))
         sums = {k: (np.zeros((len(c), len(TAGS)), np.float32), np.zeros((len(c), 1), np.float32)) for k, c in enumerate(codes) if len(c) > WINDOW}
         found: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-        for a in range(0, len(pieces), 512):
-            part = pieces[a : a + 512]
+        for a in range(0, len(pieces), BLOCK):
+            part = pieces[a : a + BLOCK]
             lengths = np.array([len(p[2]) for p in part])
             if not lengths.max():
                 continue
@@ -298,8 +311,8 @@ def tag_posts(posts: DataFrame, weights: Path = WEIGHTS) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(Model(shared.value))
         for whole in batches:
-            for a in range(0, whole.num_rows, 1000):
-                batch = whole.slice(a, 1000)
+            for a in range(0, whole.num_rows, POSTS):
+                batch = whole.slice(a, POSTS)
                 texts = batch.column("content").to_pylist()
                 finds = tagger.finds(texts)
                 rows = [[{"pii_type": k, "found_text": t[s:e], "start": s} for s, e, k in f] for t, f in zip(texts, finds)]
