@@ -7,6 +7,9 @@ distance, then by how often the entry occurs in the data, then by list order.
 Values are folded first: case, punctuation, look-alike letters, the wrong keyboard
 layout and romanisation. Values that reach no entry are reported as ``unmatched``.
 
+A value may hold further words: with up to three of them the name may be misspelled too,
+with more it counts letter for letter only.
+
 Rows are mapped where they lie: no shuffle, however often one value occurs. Each
 worker remembers values it has resolved (bounded).
 
@@ -19,6 +22,7 @@ value columns are read.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -121,6 +125,7 @@ class Reference:
     near: dict[str, list[str]] = field(default_factory=dict)  # delete -> keys
     weight: dict[str, int] = field(default_factory=dict)  # entry -> occurrences
     longest: int = 0  # length of the longest key
+    ordered: list[str] = field(default_factory=list)  # keys in order, for beginnings
 
     def add(self, alias: str, entry: str, order: int) -> None:
         plain = squeeze(alias)
@@ -155,7 +160,13 @@ class Reference:
         """The one entry that a cut-off word begins."""
         if len(key) < 3:
             return None
-        found = {e for k, es in self.keys.items() if k.startswith(key) for e, _ in es}
+        if len(self.ordered) != len(self.keys):
+            self.ordered = sorted(self.keys)
+        found: set[str] = set()
+        for k in self.ordered[bisect_left(self.ordered, key) :]:
+            if not k.startswith(key) or len(found) > 1:
+                break
+            found.update(e for e, _ in self.keys[k])
         return found.pop() if len(found) == 1 else None
 
     def resolve(self, value: str) -> str:
@@ -173,14 +184,12 @@ class Reference:
             if best is not None and best[0] <= cost:
                 break
             words = [w for w in _SPLIT.split(form) if w]
-            if len(words) > 12:  # a text, no name: more than three words would be left over
-                continue
             runs = [(0, len(words))] + [(a, b) for n in (3, 2, 1) for a in range(len(words) - n + 1) for b in [a + n] if n < len(words)]
             for a, b in runs:
                 rest = words[:a] + words[b:]
                 key = squeeze("".join(words[a:b]))
-                if len(rest) > 3:
-                    continue
+                if len(rest) > 3 and key not in self.keys:
+                    continue  # inside a longer text only a name letter for letter counts
                 if key not in tried:
                     tried[key] = self.best(key)
                 if (got := tried[key]) is None:

@@ -11,7 +11,6 @@ from __future__ import annotations
 import collections
 import re
 import sys
-import time
 from pathlib import Path
 
 import numpy as np
@@ -85,6 +84,10 @@ def tags_of(text: str, found: list[tuple[int, int, str]]) -> np.ndarray:
     return out
 
 
+#: Characters of a stretch that are labelled for training (a bound on the training sample; tagging reads whole stretches).
+LABELLED = 260
+
+
 def examples(texts: list[str], seed: int = 1) -> list[tuple[str, list]]:
     """Distinct labelled stretches, with as many unlabelled ones, some glued or in capitals."""
     rng = np.random.default_rng(seed)
@@ -92,7 +95,7 @@ def examples(texts: list[str], seed: int = 1) -> list[tuple[str, list]]:
     held, plain = {}, {}
     for t in texts:
         for a, b in stretches(t):
-            s = t[a:b][:260]
+            s = t[a:b][:LABELLED]
             key = re.sub(r"\d", "0", s)
             if key in held or key in plain:
                 continue
@@ -231,17 +234,16 @@ def accuracy(w, rows) -> dict[str, tuple[float, float, int]]:
     return {k: (round(hit[k] / max(1, out[k]), 4), round(hit[k] / max(1, true[k]), 4), true[k]) for k in TYPES}
 
 
-def train(rows, hidden: int = 24, minutes: float = 8, batch: int = 64, rate: float = 6e-3, log=print):
-    """Adam on batches of like lengths until the time is over; the rate falls to nothing."""
+def train(rows, hidden: int = 24, steps: int = 20_000, batch: int = 64, rate: float = 6e-3, log=print):
+    """Adam on batches of like lengths for a number of steps; the rate falls to nothing; the same rows give the same weights."""
     rng = np.random.default_rng(3)
     w = start_weights(hidden)
     one, two = {k: np.zeros_like(v) for k, v in w.items()}, {k: np.zeros_like(v) for k, v in w.items()}
     data = sorted(((encode(t).astype(np.int64), tags_of(t, f)) for t, f in rows if t), key=lambda r: len(r[0]))
-    began, n = time.time(), 0
-    while (part := (time.time() - began) / 60 / minutes) < 1:
+    for n in range(1, steps + 1):
+        part = (n - 1) / steps
         a = int(rng.integers(0, max(1, len(data) - batch)))
         loss, g = gradients(w, data[a : a + batch])
-        n += 1
         norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
         for k, v in g.items():
             v = v * min(1.0, 5.0 / (norm + 1e-9))
@@ -253,17 +255,17 @@ def train(rows, hidden: int = 24, minutes: float = 8, batch: int = 64, rate: flo
     return w
 
 
-def main(path: str, minutes: float = 8, most_posts: int = 15_000) -> None:
+def main(path: str, steps: int = 20_000, most_posts: int = 15_000) -> None:
     import pyarrow.parquet as pq
 
     texts = [t for t in pq.read_table(path, columns=["content"])["content"].to_pylist()[:most_posts] if t]
     rows = examples(texts)
     cut = len(rows) * 9 // 10
     print(len(rows), "labelled stretches", flush=True)
-    w = train(rows[:cut], minutes=minutes)
+    w = train(rows[:cut], steps=steps)
     print("held out:", accuracy(w, rows[cut:]))
     np.savez_compressed(WEIGHTS, **{k: v.astype(np.float16) for k, v in w.items()})
 
 
 if __name__ == "__main__":
-    main(sys.argv[1], float(sys.argv[2]) if len(sys.argv) > 2 else 8)
+    main(sys.argv[1], int(sys.argv[2]) if len(sys.argv) > 2 else 20_000)

@@ -17,7 +17,8 @@ CITIES = ["Паромогорск", "Туманояр", "Чайкоключи"]
     [
         ("паромогорск", "Паромогорск"), ("Праомогорск", "Паромогорск"), ("gfhjvjujhcr", "Паромогорск"), ("г. Туманояр", "Туманояр"),
         ("Tumanoyar", "Туманояр"), ("Чaйкoключи", "Чайкоключи"), ("Чайко-ключи", "Чайкоключи"), ("Жепцырешты", "unmatched"),
-        ("", "unmatched"), ("  ", "unmatched"), ("?", "unmatched"), ("х" * 5000, "unmatched"),
+        ("", "unmatched"), ("  ", "unmatched"), ("?", "unmatched"), ("х" * 5000, "unmatched"), ("Туманояр и ещё четыре слова за ним", "Туманояр"), ("слово " * 20 + "чайкоключи", "Чайкоключи"),
+        ("Туманояз и ещё четыре слова за ним", "unmatched"),
     ],
 )
 def test_resolve(typed, entry):
