@@ -57,29 +57,47 @@ def fold_events(events: DataFrame) -> DataFrame:
     )
 
 
-def sliding_count(rows: DataFrame, key: str, at: str, seconds: int) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(F.unix_micros(F.col(at).cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
-    return rows.withColumn("n", F.count(F.lit(1)).over(w))
+def sliding_count(rows: DataFrame, key: str, at: str, seconds: int, block: int = 24) -> DataFrame:
+    """Rows of the same key in the last ``seconds``, the row's own moment included.
+
+    A key's rows are cut into stretches of ``block`` times the span; the last span of a
+    stretch is also sent on to the next one, so no key is one group, whatever it holds.
+    """
+    span = seconds * 1_000_000
+    micros = F.unix_micros(F.col(at).cast("timestamp"))
+    cut = rows.withColumn("_t", micros).withColumn("_b", F.floor(F.col("_t") / (span * block)))
+    near_end = F.col("_t") >= (F.col("_b") + 1) * (span * block) - span
+    sent = cut.withColumn("_to", F.explode(F.when(near_end, F.array("_b", F.col("_b") + 1)).otherwise(F.array("_b"))))
+    w = Window.partitionBy(key, "_to").orderBy("_t").rangeBetween(-span, 0)
+    counted = sent.withColumn("n", F.count(F.lit(1)).over(w))
+    return counted.filter("_to <=> _b").drop("_t", "_b", "_to")
 
 
 def new_items(rows: DataFrame, marks: DataFrame, key: str, item: str, order: list[Column], most: int) -> DataFrame:
-    """Items ranked before the last seen one; all if it is gone; none on the first run (no marker)."""
-    ranked = rows.withColumn("pos", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+    """Items ranked before the last seen one; all if it is gone; none on the first run (no marker).
+
+    Only the first ``most`` of a key count, so each task sends no more than those on.
+    """
+    ranked = rows.withColumn("pos", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter(F.col("pos") <= most)
     joined = ranked.join(marks, key).filter("marker is not null")
     at = F.min(F.when(F.col(item) == F.col("marker"), F.col("pos"))).over(Window.partitionBy(key))
-    out = joined.withColumn("_at", at).filter((F.col("pos") < F.coalesce("_at", F.lit(1_000_000_000))) & (F.col("pos") <= most))
-    return out.select(key, item)
+    return joined.withColumn("_at", at).filter(F.col("_at").isNull() | (F.col("pos") < F.col("_at"))).select(key, item)
 
 
 def within_budget(rows: DataFrame, order: str, cost: str, budget: int, block: int = 1024) -> DataFrame:
     """Rows, in order, while the running cost stays within the budget.
 
-    Costs aren't negative, so whole blocks are summed first and only the blocks that
-    begin within the budget are looked into.
+    Costs aren't negative, so sums of large blocks come first, and only the blocks that
+    begin within the budget are looked into: blocks of ``block`` cubed, squared and plain.
     """
-    cut = rows.withColumn("_b", F.floor(F.col(order) / block))
-    sums = cut.groupBy("_b").agg(F.coalesce(F.sum(cost), F.lit(0)).alias("_s"))
-    before = F.coalesce(F.sum("_s").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    open_ = sums.withColumn("_before", before).filter(F.col("_before") <= budget).select("_b", "_before")
-    run = F.sum(cost).over(Window.partitionBy("_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    return cut.join(open_, "_b").withColumn("_run", run + F.col("_before")).filter(F.col("_run") <= budget).select(order)
+    levels = [block**3, block**2, block]
+    open_ = None
+    for k, size in enumerate(levels):
+        part = rows.withColumn("_b", F.floor(F.col(order) / size)).withColumn("_up", F.floor(F.col(order) / levels[k - 1]) if k else F.lit(0).cast("bigint"))
+        sums = part.groupBy("_up", "_b").agg(F.coalesce(F.sum(cost), F.lit(0)).alias("_s"))
+        sums = sums.withColumn("_start", F.lit(0).cast("bigint")) if open_ is None else sums.join(open_, "_up")
+        before = F.coalesce(F.sum("_s").over(Window.partitionBy("_up").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("_start")
+        open_ = sums.withColumn("_before", before).filter(F.col("_before") <= budget).select(F.col("_b").alias("_up"), F.col("_before").alias("_start"))
+    run = F.sum(cost).over(Window.partitionBy("_up").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)) + F.col("_start")
+    found = rows.withColumn("_up", F.floor(F.col(order) / block)).join(open_, "_up")
+    return found.withColumn("_run", run).filter(F.col("_run") <= budget).select(order)
