@@ -151,23 +151,23 @@ class Model:
     def best_paths(self, scores: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Best tags (length, batch) of padded sequences (length, batch, tags)."""
         T, B, K = scores.shape
-        back = np.empty((T, B, K), np.int8)
-        best = scores[0].copy()
-        best[:, 2::2] -= 1e4  # nothing begins inside
-        moves = np.ascontiguousarray(self.moves.T)[None]  # to, from
-        own = np.arange(K, dtype=np.int8)
+        held = np.empty((T, K, B), np.float32)  # best score of every tag at every place; the way back is found from them
+        own = np.ascontiguousarray(scores.transpose(0, 2, 1))
+        held[0] = own[0]
+        held[0][2::2] -= 1e4  # nothing begins inside
+        step = np.empty((K, K, B), np.float32)  # from, to, sequence
         for t in range(1, T):
-            all_ = best[:, None, :] + moves
-            step = all_.argmax(2)
-            new = np.take_along_axis(all_, step[:, :, None], 2)[:, :, 0] + scores[t]
-            live = (t < lengths)[:, None]
-            back[t] = np.where(live, step, own)
-            best = np.where(live, new, best)
+            np.add(held[t - 1][:, None], self.moves[:, :, None], out=step)
+            np.max(step, axis=0, out=held[t])
+            held[t] += own[t]
+            over = t >= lengths
+            if over.any():
+                held[t][:, over] = held[t - 1][:, over]
         out = np.empty((T, B), np.int8)
-        out[-1] = best.argmax(1)
-        rows = np.arange(B)
+        out[-1] = held[-1].argmax(0)
         for t in range(T - 1, 0, -1):
-            out[t - 1] = back[t, rows, out[t]]
+            best = (held[t - 1] + self.moves[:, out[t]]).argmax(0)
+            out[t - 1] = np.where(t < lengths, best, out[t])
         return out
 
     def best_path(self, scores: np.ndarray) -> np.ndarray:
