@@ -110,7 +110,6 @@ class Model:
                     c[fresh] = 0
                 np.matmul(h, step, out=g)
                 g += np.take(table, codes[t], axis=0, out=at, mode="clip")
-                np.clip(g, -80, 80, out=g)
                 np.exp(g, out=g)
                 g += 1
                 np.reciprocal(g, out=g)
@@ -121,7 +120,6 @@ class Model:
                 c *= g[:, H : 2 * H]
                 c += new
                 np.multiply(c, -2, out=h)
-                np.clip(h, -80, 80, out=h)
                 np.exp(h, out=h)
                 h += 1
                 np.reciprocal(h, out=h)
@@ -175,8 +173,15 @@ class Model:
         return self.best_paths(scores[:, None], np.array([len(scores)]))[:, 0]
 
     def tag(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
-        """Spans of each stretch, by averaged window scores and one decoding."""
-        codes = [encode(t) for t in texts]
+        """Spans of each stretch."""
+        return self.tag_codes([encode(t) for t in texts])
+
+    def tag_codes(self, codes: list[np.ndarray]) -> list[list[tuple[int, int, str]]]:
+        """Spans of each encoded stretch, by averaged window scores and one decoding."""
+        with np.errstate(over="ignore"):  # a far exponential is infinite and its gate closed
+            return self._tag(codes)
+
+    def _tag(self, codes: list[np.ndarray]) -> list[list[tuple[int, int, str]]]:
         pieces: list[tuple[int, int, np.ndarray]] = []
         for k, code in enumerate(codes):
             if len(code) <= WINDOW:
@@ -186,7 +191,7 @@ class Model:
                 pieces += [(k, s, code[s : s + WINDOW]) for s in starts]
         pieces.sort(key=lambda p: len(p[2]))
         sums = {k: (np.zeros((len(c), len(TAGS)), np.float32), np.zeros((len(c), 1), np.float32)) for k, c in enumerate(codes) if len(c) > WINDOW}
-        found: list[list[tuple[int, int, str]]] = [[] for _ in texts]
+        found: list[list[tuple[int, int, str]]] = [[] for _ in codes]
         for a in range(0, len(pieces), BLOCK):
             part = pieces[a : a + BLOCK]
             lengths = np.array([len(p[2]) for p in part])
@@ -273,9 +278,9 @@ class Tagger:
             row = [codes[a:b].tobytes() if b - a <= 2 * WINDOW else None for a, b in parts]
             for (a, b), key in zip(parts, row):
                 if key is None or (key not in self.known and key not in new):
-                    new[key if key is not None else (id(text), a)] = text[a:b]
+                    new[key if key is not None else (id(text), a)] = codes[a:b]
             keys.append(row)
-        got = dict(zip(new, self.model.tag(list(new.values()))))
+        got = dict(zip(new, self.model.tag_codes(list(new.values()))))
         self.known.update((k, v) for k, v in got.items() if isinstance(k, bytes))
         out = []
         for text, parts, row in zip(texts, cuts, keys):
