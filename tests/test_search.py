@@ -1,9 +1,12 @@
 """Rankings against their SQL twins on tables made here: bounds of zero, queries asked twice, missing values."""
 
 import duckdb
+import pyarrow as pa
 import pytest
 
 import __spark_entry__ as entry
+from motorloom.operators import ranking as rk
+from motorloom.plans import search
 from tests.test_catalog import norm
 
 NAMES = [f"r{k}" for k in ("05", "06", "07", "13", "15", "16", "19", "20", "21", "22", "24", "26", "27", "28", "29")]
@@ -40,3 +43,39 @@ def test_ranking_equals_sql(spark, folder, name):
     rel = c.sql(entry.oracle_sql()[name])
     cols = list(rel.columns)
     assert mine and mine == sorted(repr([norm(r[cols.index(k)]) for k in sorted(cols)]) for r in rel.fetchall())
+
+
+def test_four_keys_walk_every_query(spark, folder):
+    got = sorted(map(tuple, entry.queries()["r18_four_keys"](spark, folder).collect()))
+    ranked = search._scored(spark, folder).select("query_id", "id", "score").collect()
+    held = {r.id: r for r in spark.read.parquet(f"{folder}/normalized_documents.parquet").select("*", rk.canonical_url(search.F.col("source_url")).alias("page"), rk.fingerprint(search.F.col("source_url"), search.F.col("brand"), search.F.col("model"), "year", "price", "mileage").alias("print")).collect()}
+    heads = {}
+    for r in ranked:
+        heads.setdefault(r.query_id, []).append((-r.score, r.id))
+    want = []
+    for ids, head in (((100,), 100), ((200, 300), 200), ((400,), 400), ((500,), 500), ((600,), 600)):
+        seen = set()
+        for place, (_, i) in enumerate(sorted(heads[head]), 1):
+            r = held[i]
+            keys = {("listing", r.source_url or f"{r.title}_{r.price}"), ("document", i), ("print", r.print)} | ({("page", r.page)} if r.page is not None else set())
+            if not keys & seen:
+                seen |= keys
+                want += [(q, i, place) for q in ids]
+    assert got == sorted(want)
+
+
+def test_queries_alike_are_met_once(spark, folder):
+    heads = search._heads(spark, folder).select("query_id").collect()
+    assert sorted(r.query_id for r in heads) == [100, 200, 400, 500, 600]
+
+
+def test_mentions_equal_looking_pair_by_pair():
+    rows = pa.table({"id": [1, 2, 3], "text": ["kelarion h 6 чистый", "ormavit", ""], "content": ["h6 чистый чистый", None, ""]})
+    asked = pa.table({
+        "at": pa.array([1, 0], pa.int32()), "n_brand": ["ormavit", "kelarion"], "n_model": [None, "h6"],
+        "n_words": [["", "ormavit"], ["h 6", "h 6", "чистый"]], "words": [["-", "ormavit"], ["h6", "h6", "чистый"]],
+    })
+    got = rk.mentions(rows, asked)
+    assert got.column_names == ["id", "said", "named", "held"]
+    assert got.column("said").to_pylist() == [[3.0, 0.0], [0.0, 1.5], [0.0, 0.0]]
+    assert got.column("named").to_pylist() == [[3, 0], [0, 1], [0, 0]] and got.column("held").to_pylist() == [[2, 0], [0, 0], [0, 0]]
