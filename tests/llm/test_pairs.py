@@ -151,3 +151,22 @@ def test_leaks_equal_brute_force(spark):
 
 def test_leak_folds_look_alikes():
     assert leakage.fold("Ёлка Соvа") == leakage.fold("елка cова".replace("в", "v"))
+
+
+@pytest.mark.parametrize("together", [1, 60, incremental.TOGETHER])
+def test_batches_in_runs_equal_the_sequential_walk(spark, monkeypatch, together):
+    rows = [(None if i % 5 else f"host.example/p{i % 30}", t) for i, t in enumerate(texts(7))]
+    data = [(i, None if i < 20 else i // 20, u, t) for i, (u, t) in enumerate(rows)]
+    posts = spark.createDataFrame(data, "id bigint, batch_no int, source_url string, content string")
+    times, admit = [], incremental.admit
+    monkeypatch.setattr(incremental, "admit", lambda *a: times.append(1) or admit(*a))
+    got = {(r.kept_id, r.id) for r in incremental.dedupe_batches(posts, together=together).collect()}
+    assert got == greedy(rows, simple_key)
+    assert len(times) == {1: 9, 60: 3}.get(together, 1)  # small batches don't cost a round of jobs each
+
+
+def test_runs_of_batches_keep_order_and_size():
+    batch = lambda k, n, low, high: {"batch_no": k, "n": n, "low": low, "high": high}
+    batches = [batch(None, 2, 1, 2), batch(0, 3, 3, 5), batch(1, 9, 6, 14), batch(2, 1, None, None), batch(3, 1, 4, 4), batch(4, 1, 15, 15)]
+    assert [[b["batch_no"] for b in run] for run in incremental.runs(batches, 5)] == [[None, 0], [1], [2, 3, 4]]
+    assert [[b["batch_no"] for b in run] for run in incremental.runs(batches, 99)] == [[None, 0, 1, 2], [3, 4]]
