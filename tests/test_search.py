@@ -79,3 +79,9 @@ def test_mentions_equal_looking_pair_by_pair():
     assert got.column_names == ["id", "said", "named", "held"]
     assert got.column("said").to_pylist() == [[3.0, 0.0], [0.0, 1.5], [0.0, 0.0]]
     assert got.column("named").to_pylist() == [[3, 0], [0, 1], [0, 0]] and got.column("held").to_pylist() == [[2, 0], [0, 0], [0, 0]]
+
+
+def test_signals_round_halves_as_sql(spark):
+    fit = 1.0 - 18239 / 104000.0  # 0.824625, of which Spark's own rounding makes 0.82462
+    got = spark.createDataFrame([(fit,)], "v double").select(search._four(search.F.col("v"), 5), search._four(search.F.col("v"))).first()
+    assert tuple(got) == duckdb.sql(f"SELECT round({fit!r}::DOUBLE, 5), round({fit!r}::DOUBLE, 4)").fetchall()[0] == (0.82463, 0.8246)
