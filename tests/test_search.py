@@ -85,3 +85,21 @@ def test_signals_round_halves_as_sql(spark):
     fit = 1.0 - 18239 / 104000.0  # 0.824625, of which Spark's own rounding makes 0.82462
     got = spark.createDataFrame([(fit,)], "v double").select(search._four(search.F.col("v"), 5), search._four(search.F.col("v"))).first()
     assert tuple(got) == duckdb.sql(f"SELECT round({fit!r}::DOUBLE, 5), round({fit!r}::DOUBLE, 4)").fetchall()[0] == (0.82463, 0.8246)
+
+
+def test_match_sums_equal_the_pairs(spark, folder):
+    rows = pa.table({"text": ["kelarion h 6 чистый", "ormavit", ""], "fuel": ["petrol", None, "diesel"]})
+    asked = pa.table({
+        "query_id": [7, 9], "w_fuel": [None, "petrol"], "n_brand": ["ormavit", "kelarion"], "n_model": [None, "h6"],
+        "n_words": [["", "ormavit"], ["h 6", "h 6", "чистый"]],
+    })
+    got = rk.match_sums(rows, asked).to_pydict()
+    assert got["query_id"] == [7, 9] and got["hits"] == [3, 3]
+    assert got["text_match"] == [pytest.approx(1.65 / 3), pytest.approx(1.0)]
+    none = rk.match_sums(rows.slice(0, 0), asked).to_pydict()
+    assert none["text_match"] == [0.0, 0.0] and none["hits"] == [0, 0]
+
+
+def test_averages_meet_no_pairs_outside_of_their_groups(spark, folder):
+    plan = entry.queries()["r16_signal_averages"](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "held" not in plan and "said" not in plan
