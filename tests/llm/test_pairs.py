@@ -6,7 +6,7 @@ import re
 
 import pytest
 
-from motorloom.llm import incremental, leakage, near_dup
+from motorloom.llm import at_once, incremental, leakage, near_dup
 
 W = re.compile(r"[^\W_]+")
 
@@ -170,3 +170,28 @@ def test_runs_of_batches_keep_order_and_size():
     batches = [batch(None, 2, 1, 2), batch(0, 3, 3, 5), batch(1, 9, 6, 14), batch(2, 1, None, None), batch(3, 1, 4, 4), batch(4, 1, 15, 15)]
     assert [[b["batch_no"] for b in run] for run in incremental.runs(batches, 5)] == [[None, 0], [1], [2, 3, 4]]
     assert [[b["batch_no"] for b in run] for run in incremental.runs(batches, 99)] == [[None, 0, 1, 2], [3, 4]]
+
+
+@pytest.mark.parametrize("contested", [at_once.CONTESTED, 0])
+def test_all_batches_at_once_equal_the_sequential_walk(spark, monkeypatch, contested):
+    monkeypatch.setattr(at_once, "MEETINGS", 50)  # pairs are made in many blocks
+    monkeypatch.setattr(incremental, "admit", None)  # no history is made
+    rows = [(None if i % 5 else f"host.example/p{i % 30}", t) for i, t in enumerate(texts(7))]
+    data = [(i, None if i < 20 else i // 20, u, t) for i, (u, t) in enumerate(rows)]
+    posts = spark.createDataFrame([*data, (None, 3, "host.example/p1", rows[0][1])], "id bigint, batch_no int, source_url string, content string")
+    monkeypatch.setattr(at_once.dedupe, "__defaults__", (contested,))
+    assert {(r.kept_id, r.id) for r in at_once.dedupe_batches(posts).collect()} == greedy(rows, simple_key)
+    assert at_once.dedupe_batches(posts.limit(0)).count() == 0
+
+
+def test_batches_whose_ids_fall_are_admitted_in_order(spark):
+    same = "one two three four five"
+    posts = spark.createDataFrame([(9, 1, None, same), (3, 2, None, same)], "id bigint, batch_no int, source_url string, content string")
+    assert [tuple(r) for r in at_once.dedupe_batches(posts).collect()] == [tuple(r) for r in incremental.dedupe_batches(posts).collect()]
+
+
+def test_blocks_hold_their_columns():
+    import numpy as np
+
+    a, b = np.array([1, 2**40 - 1, 7]), np.array([-5, 2**62, 0])
+    assert [x.tolist() for x in at_once.unpack([at_once.pack((a, 5), (b, 8))] * 2, 5, 8)] == [a.tolist() * 2, b.tolist() * 2]
