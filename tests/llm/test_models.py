@@ -214,6 +214,70 @@ def test_long_stretch_uses_overlapping_windows():
     assert "8-532-431-35-72" in found
 
 
+def _read_alone(w, code):
+    """Tag scores of one sequence, character by character."""
+    x, on = code.astype(np.int64)[:, None], np.ones((len(code), 1), np.float32)
+    f, _ = pii_train.lstm(x, on, w["pf"], w["uf"])
+    b, _ = pii_train.lstm(x[::-1], on, w["pb"], w["ub"])
+    return (np.concatenate([f, b[::-1]], 2) @ w["wo"] + w["bo"])[:, 0]
+
+
+def test_shared_beginnings_are_read_once_and_most_stretches_are_proved_plain(monkeypatch):
+    w = {k: v.astype(np.float32) for k, v in np.load(pii.WEIGHTS).items()}
+    model, read = pii.Model(w), []
+    step = model.step
+    monkeypatch.setattr(model, "step", lambda way, h, c, codes: read.append(len(codes)) or step(way, h, c, codes))
+    decided, paths = [], model.best_paths
+    monkeypatch.setattr(model, "best_paths", lambda scores, lengths: decided.extend(lengths) or paths(scores, lengths))
+    texts = [f"Продам машину в хорошем состоянии, {a} {b}, торг уместен." for a in ("цвет белый", "салон серый", "мотор тихий") for b in "абвгд"]
+    texts += ["Звоните 8-532-431-35-72, Захар Кругляк.", "Звоните 8-532-431-35-72", "З", "З", ""]
+    got, once = model.tag(texts), sum(read)
+    codes = [pii.encode(t).tobytes() for t in texts]
+    beginnings, ends = ({c[s] for c in codes for k in range(len(c)) for s in [cut(k)]} for cut in (lambda k: slice(0, k + 1), lambda k: slice(k, None)))
+    assert once == len(beginnings) + len(ends) < 1.2 * sum(map(len, texts))  # 2 for each character if each were read alone
+    assert 2 <= len(decided) <= 4
+    want = [pii.spans(model.best_path(_read_alone(w, pii.encode(t)))) if t else [] for t in texts]
+    assert got == want and sum(map(bool, want)) == 2
+    read.clear()
+    monkeypatch.setattr(pii, "NODES", 40)
+    assert model.tag(texts) == got and sum(read) > 0  # in small parts
+    monkeypatch.setattr(pii, "PADDED", 100)
+    assert model.tag(texts) == got
+
+
+def test_plain_is_never_wrong():
+    rng = np.random.default_rng(5)
+    model, proved = pii.Model({**pii_train.start_weights(2), "tr": rng.normal(size=(11, 11))}), 0
+    for _ in range(40):
+        lengths = np.sort(rng.integers(1, 9, 50))
+        scores = rng.normal(size=(lengths.max(), 50, 11)).astype(np.float32) * 2
+        scores[:, :, 0] += 4
+        over = scores[:, :, 1:] - scores[:, :, :1]
+        plain = model.plain(over[:, :, ::2].max(2), over[:, :, 1::2].max(2), lengths)
+        paths = model.best_paths(scores, lengths)
+        assert not any(paths[:n, j].any() for j, n in enumerate(lengths) if plain[j])
+        proved += plain.sum()
+    assert 100 < proved < 2000
+
+
+def test_posts_read_together_are_bounded(monkeypatch):
+    monkeypatch.setattr(pii, "POSTS", 3)
+    monkeypatch.setattr(pii, "CHARACTERS", 10)
+    assert pii.together([1, None, 2, 3, 50, 4, 6, 1]) == [(0, 3), (3, 4), (4, 5), (5, 7), (7, 8)]
+    assert pii.together([]) == []
+    texts = ["Звоните 8-532-431-35-72. Спасибо.\nТорг", None, "", "Захар Кругляк отвечает.\n\nЗвоните 8-532-431-35-73"]
+    whole = pii.Tagger(pii.Model.load()).finds(texts)
+    monkeypatch.setattr(pii, "STRETCHES", 2)
+    assert pii.Tagger(pii.Model.load()).finds(texts) == whole and whole[0] and whole[3]
+
+
+def test_stretches_end_at_lines_separators_and_sentences():
+    parts = lambda t: [t[a:b] for a, b in pii.stretches(t)]
+    assert parts("Торг. Обмен!  Да\n\n \nнет | цена • 5") == ["Торг.", "Обмен!", "Да", " ", "нет", "цена", "5"]
+    assert parts("ул. Мира, д. Б. Тел. А. Б. Иванов. Звоните") == ["ул. Мира, д. Б. Тел. А. Б. Иванов.", "Звоните"]
+    assert parts("\n\n") == [] and parts(" а") == [" а"] and parts("а. ") == ["а. "]
+
+
 TOPICS = {"law": "суд иск статья протокол закон", "sport": "гонка финиш кубок пилот трасса", "travel": "маршрут палатка перевал костёр озеро"}
 SLANG = {"law": "повестка адвокат", "sport": "болид подиум", "travel": "рюкзак тропа"}
 
